@@ -40,8 +40,8 @@ RATIOS = {
     "symbol": ("n_symbols", "n_words", 0.3),
     "upper": ("n_upper", "word_chars", 0.3),
     "mark": ("n_marks", "n_words", 0.3),
-    "dup_line": ("n_dup_lines", "n_lines", 0.3),
-    "repeat": ("n_repeat_words", "n_words", 0.2),
+    "dup_line": ("n_dup_lines", "n_lines", 0.5),
+    "repeat": ("n_repeat_words", "n_words", 0.3),
     "word_len": ("word_chars", "n_words", 6.0),
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_lines"]
