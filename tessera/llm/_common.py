@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,5 +61,13 @@ def shards_for(docs: DataFrame, text: str, per_shard: int) -> int:
     return max(least, -(-int(total) // per_shard))
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Python workers find this package where the driver does, if it isn't installed for them."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in (known := [x for x in env.get("PYTHONPATH", "").split(":") if x]):
+        env["PYTHONPATH"] = ":".join([*known, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

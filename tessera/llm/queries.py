@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, line_dedup, packing, quality, secret_scan
+from tessera.llm import decontaminate, line_dedup, packing, quality, secret_scan, warc
 from tessera.llm._common import table
 
 
@@ -30,5 +30,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_packing, op5_secret_scan, op9_decontaminate, op10_line_dedup)}
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op3_quality_rules, op4_packing, op5_secret_scan, op9_decontaminate, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
