@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, packing, quality, secret_scan, warc
+from tessera.llm import decontaminate, line_dedup, packing, quality, secret_scan, shards, warc
 from tessera.llm._common import table
 
 
@@ -34,5 +35,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op3_quality_rules, op4_packing, op5_secret_scan, op9_decontaminate, op10_line_dedup)}
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shards.compacted(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sharding, op3_quality_rules, op4_packing, op5_secret_scan, op9_decontaminate, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
