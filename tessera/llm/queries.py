@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, packing, quality, secret_scan, shards, warc
+from tessera.llm import decontaminate, line_dedup, minhash, packing, quality, secret_scan, shards, warc
 from tessera.llm._common import table
 
 
@@ -40,5 +40,9 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sharding, op3_quality_rules, op4_packing, op5_secret_scan, op9_decontaminate, op10_line_dedup)}
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sharding, op3_quality_rules, op4_packing, op5_secret_scan, op7_minhash, op9_decontaminate, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
