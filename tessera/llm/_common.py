@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -42,6 +43,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing needs any more, and let shuffle files of finished jobs go."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(spark, folder)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()  # the driver's cleaner follows its garbage collection
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(FileSystem, Path) of Hadoop for a path of any store."""
     jvm = spark.sparkContext._jvm
