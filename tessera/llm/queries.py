@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import debruijn, decontaminate, line_dedup, minhash, packing, quality, secret_scan, shards, warc
+from tessera.llm import debruijn, decontaminate, line_dedup, minhash, packing, quality, secret_scan, shards, suffixes, warc
 from tessera.llm._common import table
 
 
@@ -48,5 +48,9 @@ def op8_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.kept_digest(debruijn.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sharding, op3_quality_rules, op4_packing, op5_secret_scan, op7_minhash, op8_debruijn, op9_decontaminate, op10_line_dedup)}
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.kept_digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sharding, op3_quality_rules, op4_packing, op5_secret_scan, op6_suffix_array, op7_minhash, op8_debruijn, op9_decontaminate, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
