@@ -94,7 +94,7 @@ def signatures(texts: list[np.ndarray], registers: int = REGISTERS) -> np.ndarra
     low = 1
     more = [(text, seed, rate, part)]
     while len(sub := np.flatnonzero(w > low)):
-        more.append((text[sub], _mix(s[sub] + _U(low) * _STEP[1]), np.full(len(sub), float(low)), np.minimum(1.0, (w[sub] - low) / low)))
+        more.append((text[sub], _mix(s[sub] + _U(low * int(_STEP[1]) & 0xFFFFFFFFFFFFFFFF)), np.full(len(sub), float(low)), np.minimum(1.0, (w[sub] - low) / low)))
         low *= 2
     text, seed, rate, part = (np.concatenate(x) for x in zip(*more, strict=True))
     time = np.zeros(len(text))
@@ -103,7 +103,7 @@ def signatures(texts: list[np.ndarray], registers: int = REGISTERS) -> np.ndarra
     k = 0
     while len(text):
         k += 1
-        point = _mix(seed + _U(k) * _STEP[2])
+        point = _mix(seed + _U(k * int(_STEP[2]) & 0xFFFFFFFFFFFFFFFF))
         time = time - np.log(((point >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
         other = _mix(point + _STEP[3])
         slot = text * registers + (other % _U(registers)).astype(np.int64)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import debruijn, decontaminate, line_dedup, minhash, packing, quality, secret_scan, shards, suffixes, warc
 from tessera.llm._common import table
+from tessera.llm.oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +55,10 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.kept_digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sharding, op3_quality_rules, op4_packing, op5_secret_scan, op6_suffix_array, op7_minhash, op8_debruijn, op9_decontaminate, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pipeline, op1_warc, op2_sharding, op3_quality_rules, op4_packing, op5_secret_scan, op6_suffix_array, op7_minhash, op8_debruijn, op9_decontaminate, op10_line_dedup)}
