@@ -9,8 +9,8 @@ stops at the latest of the registers' times, so heavy shingles and long texts co
 
 Bands of ``ROWS`` registers make buckets; at a similarity of 0.8 a pair shares none of the 20 bands
 with a probability of 3e-5. In a bucket, members meet centres, not each other: first the
-smallest member, then, in buckets that still hold texts of different classes, twice as many
-centres each round, without a cap, until every pair of different classes has been checked or
+smallest member, then, in buckets that still hold texts of different classes, ``GROWTH`` times as
+many centres each round, without a cap, until every pair of different classes has been checked or
 linked. Candidates are checked by the exact multiset similarity; links join classes by label
 propagation with pointer jumping, each round written to the shared folder.
 
@@ -25,6 +25,8 @@ result; other columns pass through, whatever their names.
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,6 +39,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
+#: Centres of a mixed bucket, from a round to the next.
+GROWTH = 4
 #: Texts are signed in runs of about so many bytes, which bounds a worker's memory.
 CHUNK_BYTES = 5_000_000
 
@@ -142,21 +146,48 @@ def _sign(batches):
             ], schema=_SIGNED)
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Exact weighted Jaccard of the shingle multisets."""
-    text, s, w = bags([word_hashes(a), word_hashes(b)])
-    left, right = text == 0, text == 1
-    _, i, j = np.intersect1d(s[left], s[right], assume_unique=True, return_indices=True)
-    both = np.minimum(w[left][i], w[right][j]).sum()
-    total = w.sum() - both
-    return float(both / total) if total else 0.0
+def bag(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted shingles, their occurrences, and how many in all."""
+    _, s, w = bags([word_hashes(text)])
+    order = np.argsort(s)
+    return s[order], w[order], int(w.sum())
+
+
+def similarity(a: tuple, b: tuple) -> float:
+    """Exact weighted Jaccard of two bags."""
+    (s, w, n), (t, v, m) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
+    if not n or not m:
+        return 0.0
+    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+    hit = t[at] == s
+    both = int(np.minimum(w[hit], v[at[hit]]).sum())
+    return both / (n + m - both)
+
+
+class _Bags:
+    """Bags by id, the latest used, up to so many shingles: a centre meets many members."""
+
+    def __init__(self, room: int = 4_000_000):
+        self.held: OrderedDict[int, tuple] = OrderedDict()
+        self.room = room
+
+    def get(self, key: int, text: bytes | None) -> tuple:
+        if key in self.held:
+            self.held.move_to_end(key)
+            return self.held[key]
+        new = self.held[key] = bag(text or b"")
+        self.room -= len(new[0])
+        while self.room < 0 and len(self.held) > 1:
+            self.room += len(self.held.popitem(last=False)[1][0])
+        return new
 
 
 def _check(least: float):
     def run(batches):
+        own = _Bags()
         for b in batches:
-            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True)
-            good = [(x, y) for x, y, s, t in rows if similarity(s or b"", t or b"") >= least - 1e-12]
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(b.column(i).cast(pa.binary()) for i in (2, 3)), strict=True)
+            good = [(x, y) for x, y, s, t in rows if similarity(own.get(x, s.as_py() if x not in own.held else None), own.get(y, t.as_py() if y not in own.held else None)) >= least - 1e-12]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([y for _, y in good], pa.int64())], names=["a", "b"])
 
     return run
@@ -225,7 +256,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             links = materialize(full.mapInArrow(_check(least), "a long, b long"), "checked")
             labels = components(labels, links)
             done = pairs if done is None else done.unionByName(pairs)
-        centres *= 2
+        centres *= GROWTH
 
     classes = groups.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.col("words").alias("w"), F.coalesce("label", "node").alias("class"))
     return signed.select("id", "words").join(classes, F.col("words") == F.col("w"), "left").select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class_id"))
