@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.errors import InvalidStepError, SchemaError
+from tessera.operators.encoders import _Mapped
 from tessera.plans import Select, ident
 from tessera.schema import Schema, resolve_columns
 from tessera.step import Transformer
@@ -11,7 +12,7 @@ from tessera.step import Transformer
 def _check(step: Transformer) -> None:
     if not isinstance(step, Transformer):
         raise InvalidStepError(f"not a step: {step!r}")
-    if type(step).query is not Transformer.query:
+    if type(step).query not in (Transformer.query, _Mapped.query):
         raise InvalidStepError(f"{type(step).__name__} changes rows or whole frames and can't stand in a group or branch")
 
 

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.errors import UnseenCategoryError
-from tessera.plans import ident, lit
+from tessera.errors import FitError, UnseenCategoryError
+from tessera.plans import Join, Select, ident, lit
+from tessera.schema import RESERVED
 from tessera.step import Transformer
 
+#: Categories of a column that become a literal in the plan; more are joined as a table.
+LITERALS = 1000
+#: Categories of a column at most; what fit learns is held by the driver.
+MOST_CATEGORIES = 1_000_000
+
 
 def _lookup(c: str, table: dict, to: str, otherwise: str) -> str:
     """A value's number from a map literal, built once per plan."""
@@ -36,6 +42,47 @@ class _Encoder(Transformer):
                 raise UnseenCategoryError(c, [r["v"] for r in found])
 
 
+class _Mapped(_Encoder):
+    """A number for each category: by a map literal, or by a join where there are many."""
+
+    kind = "DOUBLE"
+
+    def table(self, c: str) -> dict:
+        raise NotImplementedError
+
+    def otherwise(self) -> str:
+        raise NotImplementedError
+
+    def prepare(self, spark):
+        self._spark = spark
+
+    def _learned(self, frame: DataFrame) -> DataFrame:
+        return frame.limit(MOST_CATEGORIES + 1)
+
+    def _known(self, c: str) -> dict:
+        known = self.table(c)
+        if len(known) > MOST_CATEGORIES:
+            raise FitError(f"column {c!r} has over {MOST_CATEGORIES} categories; HashEncoder takes any number")
+        return known
+
+    def expressions(self, columns, schema):
+        return {c: _lookup(c, self._known(c), self.kind, self.otherwise()) for c in columns}
+
+    def query(self, columns, schema):
+        many = [c for c in columns if len(self._known(c)) > LITERALS and schema.column_category(c) == "categorical"]
+        if not many:
+            return None
+        few = self.expressions([c for c in columns if c not in many], schema)
+        out, have = [], list(schema)
+        for c in many:
+            code = f"{RESERVED}code_{c}"
+            table = self._spark.createDataFrame(list(self.table(c).items()), f"{ident(c)} string, {ident(code)} {self.kind.lower()}")
+            out.append(Join(table, f"__learned_{c}", [c], "left", [("l", x, x) for x in have] + [("r", code, code)]))
+            have.append(code)
+        pick = {c: f"coalesce({ident(f'{RESERVED}code_{c}')}, CAST({self.otherwise()} AS {self.kind}))" for c in many}
+        return [*out, Select([(c, pick.get(c, few.get(c, ident(c)))) for c in schema])]
+
+
 class OneHotEncoder(_Encoder):
     """A 0/1 column for each of the first ``max_categories`` categories by name."""
 
@@ -55,28 +102,28 @@ class OneHotEncoder(_Encoder):
         return columns
 
 
-class OrdinalEncoder(_Encoder):
+class OrdinalEncoder(_Mapped):
     """Sorted categories to 0..k-1. ``categories`` gives orders of one's own by column."""
 
+    kind = "INT"
+
     def __init__(self, *, categories="auto", handle_unknown: str = "error", unknown_value=None, columns=None):
         if handle_unknown not in ("error", "use_encoded_value"):
             raise ValueError("handle_unknown is error or use_encoded_value")
         self.categories, self.handle_unknown, self.unknown_value, self.columns = categories, handle_unknown, unknown_value, columns
 
     def discover_sets(self, columns, schema, y):
-        return {c: _distinct(c) for c in columns}
+        return {c: (lambda df, c=c: self._learned(_distinct(c)(df))) for c in columns}
 
-    def expressions(self, columns, schema):
-        out = {}
-        for c in columns:
-            own = self.categories.get(c) if isinstance(self.categories, dict) else None
-            values = own or sorted(r["value"] for r in self.sets_[c])
-            other = lit(self.unknown_value) if self.handle_unknown == "use_encoded_value" else "NULL"
-            out[c] = _lookup(c, {v: i for i, v in enumerate(values)}, "INT", other)
-        return out
+    def table(self, c):
+        own = self.categories.get(c) if isinstance(self.categories, dict) else None
+        return {v: i for i, v in enumerate(own or sorted(r["value"] for r in self.sets_[c]))}
+
+    def otherwise(self):
+        return lit(self.unknown_value) if self.handle_unknown == "use_encoded_value" else "NULL"
 
 
-class FrequencyEncoder(_Encoder):
+class FrequencyEncoder(_Mapped):
     """A category's share of all rows, or its count."""
 
     def __init__(self, *, normalize: bool = True, handle_unknown: str = "value", fill_value: float = 0.0, columns=None):
@@ -88,11 +135,14 @@ class FrequencyEncoder(_Encoder):
         return {"total": F.count(F.lit(1))} if columns else {}
 
     def discover_sets(self, columns, schema, y):
-        return {c: (lambda df, c=c: df.select(F.col(ident(c)).cast("string").alias("value")).where("value IS NOT NULL").groupBy("value").count()) for c in columns}
+        return {c: (lambda df, c=c: self._learned(df.select(F.col(ident(c)).cast("string").alias("value")).where("value IS NOT NULL").groupBy("value").count())) for c in columns}
 
-    def expressions(self, columns, schema):
+    def table(self, c):
         total = self.params_.get("total") or 1
-        return {c: _lookup(c, {r["value"]: float(r["count"]) / (total if self.normalize else 1) for r in self.sets_[c]}, "DOUBLE", lit(float(self.fill_value))) for c in columns}
+        return {r["value"]: float(r["count"]) / (total if self.normalize else 1) for r in self.sets_[c]}
+
+    def otherwise(self):
+        return lit(float(self.fill_value))
 
 
 class HashEncoder(Transformer):

@@ -93,6 +93,15 @@ def test_encoders(spark):
         p[0].check_unseen(frame(spark, [("z",)], "c string"))
 
 
+def test_many_categories_join(spark):
+    df = spark.range(3000).selectExpr("CASE WHEN id % 10 = 3 THEN NULL ELSE concat('v', id % 1500) END AS c", "id")
+    p = ts.Pipeline([ts.OrdinalEncoder(handle_unknown="use_encoded_value", unknown_value=-1)]).fit(df)
+    out = p.transform(df)
+    assert out.columns == ["c", "id"] and out.schema["c"].dataType.simpleString() == "int"
+    order = {v: i for i, v in enumerate(sorted(f"v{i}" for i in range(1500) if i % 10 != 3))}
+    assert {r["id"]: r["c"] for r in out.collect()} == {i: order.get(f"v{i % 1500}", -1) if i % 10 != 3 else -1 for i in range(3000)}
+
+
 def test_scalar_edges(spark):
     df = frame(spark, [(0.0,), (-2.0,), (None,), (4.0,)], "a double")
     out = [r[0] for r in rows(ts.Pipeline([ts.Log(offset=0)]).fit_transform(df))]
@@ -112,6 +121,21 @@ def test_windows_put_nulls_last(spark):
         ts.Pipeline([ts.Lag(order_by="zz")]).fit(df)
 
 
+def test_global_windows_in_blocks(spark):
+    from tessera.operators import windows
+
+    df = spark.range(500).selectExpr("id", "CASE WHEN id % 50 = 7 THEN NULL ELSE pmod(id * 7919, 101) END AS k", "pmod(id * 31, 17) * 1.0D AS v").repartition(5)
+    df.createOrReplaceTempView("gw")
+    for step, sql in ((ts.Rank(order_by="k"), "rank() OVER (ORDER BY k ASC NULLS LAST)"), (ts.Rank(order_by="k", method="dense_rank"), "dense_rank() OVER (ORDER BY k ASC NULLS LAST)"), (ts.RowNumber(order_by="id"), "row_number() OVER (ORDER BY id)"), (ts.Lead(periods=3, order_by="id", columns=["v"]), "lead(v, 3) OVER (ORDER BY id)"), (ts.Lag(periods=2, order_by="id", columns=["v"]), "lag(v, 2) OVER (ORDER BY id)"), (ts.RollingMean(window=5, order_by="id", columns=["v"]), "avg(v) OVER (ORDER BY id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")):
+        p = ts.Pipeline([step]).fit(df)
+        op = p._ops[0]
+        assert isinstance(op, windows.GlobalWindow)
+        op.block_rows = 16
+        new = [c for c in p.output_schema_ if c not in ("id", "k", "v")][0]
+        got = {r["id"]: r[new] for r in p.transform(df).collect()}
+        assert got == {r["id"]: r["x"] for r in spark.sql(f"SELECT id, {sql} AS x FROM gw").collect()}, sql
+
+
 def test_selection(spark):
     df = frame(spark, [(float(i), 2.0 * i, float(i * i % 7), 3.0 * i) for i in range(1, 6)], "a double, b double, c double, y double")
     assert ts.Pipeline([ts.DropCorrelated(columns=["a", "b", "c"])]).fit_transform(df).columns == ["a", "c", "y"]
