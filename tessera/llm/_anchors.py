@@ -18,13 +18,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialize, release, shards_for
+from tessera.llm._common import materialize, shards_for
 
 U = np.uint64
 MANY = np.iinfo(np.int64).min
+#: Bits of an anchor's hash that are kept, in whole bytes.
+KEY_BYTES = 6
+KEY_MASK = U((1 << 8 * KEY_BYTES) - 1)
+
+
+def short(keys: np.ndarray) -> np.ndarray:
+    """Rows of KEY_BYTES bytes."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+
+
+def whole(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,7 +99,7 @@ class Scheme:
     chunk: int
 
     def hashes(self, symbols: np.ndarray) -> np.ndarray:
-        return mix(rolling(symbols, self.k))
+        return mix(rolling(symbols, self.k)) & KEY_MASK
 
     def chunks(self, docs: list, texts: list[bytes]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(documents, symbols, place of each piece, its end, its offset in the document).
@@ -155,10 +170,12 @@ def _collect(scheme: Scheme, n_shards: int):
                 sent = first
                 doc_or_many = np.where(many, MANY, doc)[sent]
                 shard = (key[sent] % U(n_shards)).astype(np.int32)
-                for k, d, i in pack(shard, key[sent], doc_or_many):
+                packed = short(key)
+                for k, d, i in pack(shard, packed[sent], doc_or_many):
                     put(int(shard[i]), None, k, d)
-                for k, i in pack(doc[many], key[many]):
-                    put(None, int(doc[many][i]), k, None)
+                for k, i in pack(doc[many], packed[many]):
+                    own = int(doc[many][i])
+                    put(own % n_shards, own, k, None)
                 yield pa.RecordBatch.from_pydict(out, schema=_FOUND)
 
     return run
@@ -168,28 +185,27 @@ _KEYS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
 
 
 def _shared(t: pa.Table) -> pa.Table:
-    key, doc = (np.frombuffer(b"".join(t.column(n).to_pylist()), kind) for n, kind in (("key", "<u8"), ("doc", "<i8")))
+    """One shard: the anchors that two documents hold, by document; those known before pass through."""
+    t = t.select(["doc_id", "key", "doc"])
+    sent = t.filter(pc.is_null(t.column("doc_id")))
+    known = t.filter(pc.is_valid(t.column("doc_id"))).select(["doc_id", "key"])
+    key, doc = whole(b"".join(sent.column("key").to_pylist())), np.frombuffer(b"".join(sent.column("doc").to_pylist()), "<i8")
     order = np.argsort(key)
     key, doc = key[order], doc[order]
     same = key[1:] == key[:-1]
-    hit = np.append(False, same) | np.append(same, False) | (doc == MANY)
-    # a key that comes with MANY once comes with other entries or alone; either way all its entries count
-    hit &= doc != MANY
+    hit = (np.append(False, same) | np.append(same, False))[: len(key)] & (doc != MANY)
     key, doc = key[hit], doc[hit]
-    rows = [(int(doc[i]), k) for k, i in pack(doc, key)]
-    return pa.table([pa.array([d for d, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.binary())], schema=_KEYS)
+    rows = [(int(doc[i]), k) for k, i in pack(doc, short(key))]
+    return pa.concat_tables([known.cast(_KEYS), pa.table([pa.array([d for d, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.binary())], schema=_KEYS)])
 
 
 def shared_anchors(docs: DataFrame, scheme: Scheme, bytes_per_shard: int) -> DataFrame:
     """(doc_id, keys): for each document with any, the anchor hashes that another document may hold. ``docs``: (id, text)."""
     n = shards_for(docs, "text", bytes_per_shard)
-    found = materialize(docs.mapInArrow(_collect(scheme, n), "shard int, doc_id long, key binary, doc binary"), "anchors")
-    answers = found.where("shard IS NOT NULL").select("shard", "key", "doc").groupBy("shard").applyInArrow(_shared, "doc_id long, key binary")
-    both = answers.unionByName(found.where("doc_id IS NOT NULL").select("doc_id", "key"))
-    out = materialize(both.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "shared-anchors")
-    release(found)
-    return out
+    found = docs.mapInArrow(_collect(scheme, n), "shard int, doc_id long, key binary, doc binary")
+    answers = found.groupBy("shard").applyInArrow(_shared, "doc_id long, key binary")
+    return materialize(answers.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "shared-anchors")
 
 
 def keys_of(packed: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(packed or []), "<u8"))
+    return np.unique(whole(b"".join(packed or [])))

@@ -23,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,7 +80,7 @@ def _edges(n_shards: int):
                     put(int(shard[i]), None, h, l, d, p, None, None)
                 late = ~sent
                 for p, s, q, i in pack(doc[late], pos[late], doc[head][late], pos[head][late]):
-                    put(None, int(doc[late][i]), None, None, None, p, s, q)
+                    put(int(doc[late][i]) % n_shards, int(doc[late][i]), None, None, None, p, s, q)
                 yield pa.RecordBatch.from_pydict(out, schema=_EDGE)
 
     return run
@@ -90,16 +91,19 @@ HELD = "doc_id long, pos binary, source binary, source_pos binary"
 
 
 def _sources(t: pa.Table) -> pa.Table:
-    """One shard: edges whose smallest holder is another document, with that source."""
+    """One shard: edges whose smallest holder is another document, with that source; those known before pass through."""
+    known = t.filter(pc.is_valid(t.column("doc_id"))).select(_HELD.names).cast(_HELD)
+    t = t.filter(pc.is_null(t.column("doc_id")))
     hi, lo, doc, pos = (np.frombuffer(b"".join(t.column(n).to_pylist()), kind) for n, kind in (("hi", "<u8"), ("lo", "<u4"), ("doc", "<i8"), ("pos", "<u4")))
     order = np.lexsort((pos, doc, lo, hi))
     hi, lo, doc, pos = hi[order], lo[order], doc[order], pos[order]
     first = np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))
+    first = first[: len(hi)]
     head = np.flatnonzero(first)[np.cumsum(first) - 1]
     late = doc != doc[head]
     rows = [(int(doc[late][i]), p, s, q) for p, s, q, i in pack(doc[late], pos[late], doc[head][late], pos[head][late])]
     cols = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.table([pa.array(c, f.type) for c, f in zip(cols, _HELD, strict=True)], schema=_HELD)
+    return pa.concat_tables([known, pa.table([pa.array(c, f.type) for c, f in zip(cols, _HELD, strict=True)], schema=_HELD)])
 
 
 def compact(pos: np.ndarray, source: np.ndarray, source_pos: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -148,13 +152,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     n = shards_for(base, "text", BYTES_PER_SHARD)
     anchors = shared_anchors(base, SCHEME, BYTES_PER_SHARD)
     candidates = base.join(anchors, base.id == anchors.doc_id).select("id", "text", "keys")
-    edges = materialize(candidates.mapInArrow(_edges(n), EDGE), "edges")
-    release(anchors)
-    held = edges.where("shard IS NOT NULL").select("shard", "hi", "lo", "doc", "pos").groupBy("shard").applyInArrow(_sources, HELD)
-    held = held.unionByName(edges.where("doc_id IS NOT NULL").select("doc_id", "pos", "source", "source_pos"))
+    held = candidates.mapInArrow(_edges(n), EDGE).groupBy("shard").applyInArrow(_sources, HELD)
     by_doc = held.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("pos", "source", "source_pos")])
     spans = materialize(by_doc.mapInArrow(_compact, "drop_id long, start array<long>, edges array<long>, source array<long>, source_start array<long>"), "spans")
-    release(edges)
+    release(anchors)
     return spans
 
 

@@ -71,10 +71,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     items = _hashed(benchmark.where(F.col(item_id).isNotNull()), item_id, item_text).where(F.size("g") > 0)
     each = items.select(F.col("key").alias("item"), F.col("n_words").alias("item_words"), F.posexplode("g").alias("q", "h"))
     each = materialize(each.dropDuplicates(["item", "q", "h"]), "item-shingles")
-    total = each.agg(F.countDistinct("item").alias("items"))  # one row
-    weights = each.groupBy("h").agg(F.countDistinct("item").alias("of")).crossJoin(total).select("h", F.round(1000 * (1 + F.log(F.col("items") / F.col("of")))).cast("long").alias("w"))
+    n_items = max(1, each.agg(F.countDistinct("item").alias("n")).first()["n"])
+    weigh = lambda of: F.round(1000 * (1 + F.log(F.lit(float(n_items)) / of))).cast("long")
+    weights = each.groupBy("h").agg(F.countDistinct("item").alias("of")).select("h", weigh(F.col("of")).alias("w"))
     weights = materialize(weights.coalesce(1), "weights")
-    top = F.round(1000 * (1 + F.log("items"))).cast("long")
     bags = each.groupBy("item", "item_words", "h").agg(F.count("*").alias("n")).join(weights, "h").withColumnRenamed("w", "weight")
     bags = materialize(bags.coalesce(1), "bags")
     sums = bags.groupBy("item").agg(F.sum(F.col("weight") * F.col("n")).alias("item_weight"), F.sum("n").alias("m"))
@@ -93,7 +93,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     first = F.greatest(F.lit(0), F.least(F.col("start"), F.col("n_words") - wide))
     windows = texts.join(starts, "key").where("n_words >= 5").select("key", "item", first.alias("start"), wide.alias("words"), F.slice("g", first + 1, F.greatest(wide - (SHINGLE - 1), F.lit(1))).alias("g")).distinct()
     rows = windows.select("key", "item", "start", "words", F.explode("g").alias("h"), F.xxhash64("g").alias("copy")).groupBy("key", "item", "start", "words", "copy", "h").agg(F.count("*").alias("n"))
-    rows = rows.join(weights, "h", "left").crossJoin(total).withColumn("weight", F.coalesce("w", top)).drop("w", "items")
+    rows = rows.join(weights, "h", "left").withColumn("weight", F.coalesce("w", weigh(F.lit(1)))).drop("w")
     rows = materialize(rows, "windows")
     ids = ["key", "item", "start", "words", "copy"]
     prints = _fingerprint(rows, ids).select(*ids, "simhash", F.posexplode(_blocks("simhash")).alias("block", "value"))

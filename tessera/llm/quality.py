@@ -150,8 +150,9 @@ def thresholds(sketches: DataFrame, min_docs: int = MIN_DOCS, spread: float = SP
         for r, (_, _, slack) in RATIOS.items():
             q = q.withColumn("slack", F.when(F.col("ratio") == r, F.lit(slack)).otherwise(F.col("slack") if "slack" in q.columns else F.lit(None).cast("double")))
         tables[level] = q.groupBy(*keys).agg(*[F.max(F.when(F.col("ratio") == r, cut + F.col("slack"))).alias(f"{level}_{r}") for r in RATIOS], F.max("total").alias(f"{level}_n"))
-    groups = tables["own"].alias("o").join(tables["language"].alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang"))).crossJoin(tables["all"])  # the last is one row
-    pick = lambda r: F.when(F.col("own_n") >= min_docs, F.col(f"own_{r}")).when(F.col("language_n") >= min_docs, F.col(f"language_{r}")).otherwise(F.col(f"all_{r}"))
+    groups = tables["own"].alias("o").join(tables["language"].alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")))
+    whole = tables["all"].first()  # one row of a number for each ratio
+    pick = lambda r: F.when(F.col("own_n") >= min_docs, F.col(f"own_{r}")).when(F.col("language_n") >= min_docs, F.col(f"language_{r}")).otherwise(F.lit(whole[f"all_{r}"] if whole else None).cast("double"))
     return groups.select(F.col("o.lang").alias("t_lang"), F.col("o.source").alias("t_source"), *[pick(r).alias(f"cut_{r}") for r in RATIOS])
 
 
@@ -172,14 +173,15 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed, kept. The counts are written once and read twice."""
     slim = docs.select(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text"))
     counted = materialize(_with_groups(with_counts(slim).withColumn("doc", F.col("doc").dropFields("text"))).select(F.col("doc.doc_id").alias("doc_id"), "lang", "source", *COUNTS), "counts")
-    return judge(counted, materialize(thresholds(sketch(counted)).coalesce(1), "cuts"))
+    sketches = materialize(sketch(counted), "sketches")
+    return judge(counted, materialize(thresholds(sketches).coalesce(1), "cuts"))
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns of ``docs``. Texts are measured again rather than shuffled."""
     slim = docs.select("lang", "source", "text")
     counted = materialize(_with_groups(with_counts(slim).withColumn("doc", F.col("doc").dropFields("text"))).select("lang", "source", *COUNTS), "counts")
-    cuts = materialize(thresholds(sketch(counted)).coalesce(1), "cuts")
+    cuts = materialize(thresholds(materialize(sketch(counted), "sketches")).coalesce(1), "cuts")
     return judge(_with_groups(with_counts(docs)), cuts).where("kept").select([F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -28,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,7 +125,7 @@ def _batch(splitters, context, doc, at, first, last) -> pa.RecordBatch:
     for c, d, a, f, z, i in pack(bucket, context[sent], doc[sent], at[sent].astype(np.uint32), first[sent].astype(np.uint8), last[sent].astype(np.uint8)):
         put(int(bucket[i]), None, c, d, a, f, z)
     for a, z, i in pack(doc[late], (at - first)[late].astype(np.uint32), (at - last + WINDOW)[late].astype(np.uint32)):
-        put(None, int(doc[late][i]), None, None, None, a, z)
+        put(int(doc[late][i]) % (len(splitters) + 1), int(doc[late][i]), None, None, None, a, z)
     return pa.RecordBatch.from_pydict(out, schema=_ENTRY)
 
 
@@ -158,7 +159,11 @@ _SPAN = pa.schema([("doc_id", pa.int64()), ("first", pa.binary()), ("last", pa.b
 
 
 def _bucket(t: pa.Table) -> pa.Table:
-    """One bucket: windows that a smaller document holds, as [start, end) of bytes."""
+    """One bucket: windows that a smaller document holds, as [start, end) of bytes; those known before pass through."""
+    known = t.filter(pc.is_valid(t.column("doc_id"))).select(_SPAN.names).cast(_SPAN)
+    t = t.filter(pc.is_null(t.column("doc_id")))
+    if not t.num_rows:
+        return known
     join = lambda n, kind: np.frombuffer(b"".join(t.column(n).to_pylist()), kind)
     context = join("context", np.uint8).reshape(-1, BEFORE + WINDOW)
     doc, at, first, last = join("doc", "<i8"), join("at", "<u4").astype(np.int64), join("first", np.uint8).astype(np.int64), join("last", np.uint8).astype(np.int64)
@@ -194,7 +199,7 @@ def _bucket(t: pa.Table) -> pa.Table:
         ends = start
     rows = [(int(owner[i]), a, z) for a, z, i in pack(owner, start.astype(np.uint32), ends.astype(np.uint32))]
     cols = list(zip(*rows, strict=True)) or [()] * 3
-    return pa.table([pa.array(c, f.type) for c, f in zip(cols, _SPAN, strict=True)], schema=_SPAN)
+    return pa.concat_tables([known, pa.table([pa.array(c, f.type) for c, f in zip(cols, _SPAN, strict=True)], schema=_SPAN)])
 
 
 def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,12 +253,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     splitters = _splitters(base, n)
     anchors = shared_anchors(base, SCHEME, BYTES_PER_SHARD)
     candidates = base.join(anchors, base.id == anchors.doc_id).select("id", "text", "keys")
-    entries = materialize(candidates.mapInArrow(_entries(splitters), ENTRY), "suffixes")
-    release(anchors)
-    found = entries.where("bucket IS NOT NULL").drop("doc_id").groupBy("bucket").applyInArrow(_bucket, "doc_id long, first binary, last binary")
-    found = found.unionByName(entries.where("doc_id IS NOT NULL").select("doc_id", "first", "last"))
+    found = candidates.mapInArrow(_entries(splitters), ENTRY).groupBy("bucket").applyInArrow(_bucket, "doc_id long, first binary, last binary")
     spans = materialize(found.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")), "spans")
-    release(entries)
+    release(anchors)
     return spans
 
 

@@ -194,7 +194,7 @@ def test_decontamination(spark, docs):
     items = [(i, prose(n, 70 + i)) for i, n in enumerate((30, 45, 60))] + [(9, "too short"), (10, None), (11, prose(40, 80))]
     edit = items[1][1].split()
     edit[20] = "changed"
-    rows = [*ROWS[:9], (40, prose(50, 31) + " " + items[0][1] + " " + prose(20, 32)), (41, prose(10, 33) + " " + " ".join(edit)), (42, items[2][1].upper()), (43, " ".join(items[2][1].split()[:30])), (44, items[0][1] + " and " + items[2][1])]
+    rows = [*ROWS[:9], (40, prose(50, 31) + " " + items[0][1] + " " + prose(20, 32)), (41, prose(10, 33) + " " + " ".join(edit)), (42, items[2][1].encode().upper().decode()), (43, " ".join(items[2][1].split()[:30])), (44, items[0][1] + " and " + items[2][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(rows, **CLASHING), bench).collect()}
     assert got == decontaminate.brute_force(rows, items)
