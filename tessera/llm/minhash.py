@@ -11,7 +11,8 @@ Bands of ``ROWS`` registers make buckets; at a similarity of 0.8 a pair shares n
 with a probability of 3e-5. In a bucket, members meet centres, not each other: first the
 smallest member, then, in buckets that still hold texts of different classes, ``GROWTH`` times as
 many centres each round, without a cap, until every pair of different classes has been checked or
-linked. Candidates are checked by the exact multiset similarity; links join classes by label
+linked. Occurrences of shingles that only one text holds are in no overlap, which rules out most pairs
+of texts that share a template or passage. Other candidates are checked by the exact multiset similarity; links join classes by label
 propagation with pointer jumping, each round written to the shared folder.
 
 Copies (equal words) are one text throughout: they are grouped by a hash of their words with
@@ -33,14 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialize
+from tessera.llm._anchors import KEY_MASK, MANY, pack, short, whole
+from tessera.llm._common import materialize, shards_for
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 #: Centres of a mixed bucket, from a round to the next.
-GROWTH = 4
+GROWTH = 64
+BYTES_PER_SHARD = 32 << 20
 #: Texts are signed in runs of about so many bytes, which bounds a worker's memory.
 CHUNK_BYTES = 5_000_000
 
@@ -193,6 +196,41 @@ def _check(least: float):
     return run
 
 
+def _occurrences(n_shards: int):
+    """Each batch's shingles to shards: (shingle, text, occurrences), or MANY where two texts of the batch hold it."""
+
+    def run(batches):
+        for b in batches:
+            nodes = np.array(b.column(0).to_pylist(), np.int64)
+            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            runs = np.cumsum([len(x) for x in texts]) // CHUNK_BYTES if texts else []
+            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(runs)) + 1):
+                text, s, w = bags([word_hashes(texts[i]) for i in part])
+                s = s & KEY_MASK
+                order = np.argsort(s)
+                text, s, w = text[order], s[order], w[order]
+                first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+                alone = np.diff(np.append(first, len(s))) == 1
+                node = np.where(alone, nodes[part][text[first]] if len(s) else 0, MANY)
+                rows = [(int(s[first][i] % _U(n_shards)), k, d, n) for k, d, n, i in pack((s[first] % _U(n_shards)).astype(np.int32), short(s[first]), node, w[first].astype(np.uint32))]
+                cols = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["shard", "key", "node", "n"])
+
+    return run
+
+
+def _private(t: pa.Table) -> pa.Table:
+    """One shard: by text, the occurrences of shingles that no other text holds."""
+    join = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+    key, node, n = whole(b"".join(t.column("key").to_pylist())), join("node", "<i8"), join("n", "<u4")
+    order = np.argsort(key)
+    key, node, n = key[order], node[order], n[order]
+    same = key[1:] == key[:-1]
+    own = ~(np.append(False, same) | np.append(same, False))[: len(key)] & (node != MANY)
+    ids, at = np.unique(node[own], return_inverse=True)
+    return pa.table([pa.array(ids, pa.int64()), pa.array(np.bincount(at, weights=n[own], minlength=len(ids)).astype(np.int64))], names=["node", "private"])
+
+
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label) with each node's label the smallest of its component; ``links`` (a, b) are between nodes.
 
@@ -227,6 +265,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
     texts = materialize(base.join(nodes, base.id == nodes.node).select("node", "text").dropDuplicates(["node"]), "candidates")
 
+    # a text's private shingles are in no overlap: most pairs that can't be similar are known by this bound
+    n_shards = shards_for(texts, "text", BYTES_PER_SHARD)
+    private = texts.mapInArrow(_occurrences(n_shards), "shard int, key binary, node binary, n binary").groupBy("shard").applyInArrow(_private, "node long, private long").groupBy(F.col("node").alias("of")).agg(F.sum("private").alias("private"))
+    shared = buckets.join(private, F.col("node") == F.col("of"), "left").select("bucket", "node", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("m"))
+    buckets = materialize(shared.where(F.col("m") >= (least - 1e-9) * F.col("n")), "buckets")
+
     done = None
     centres = 1
     while True:
@@ -237,8 +281,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         # the members of smallest salted hash are the centres: a partial aggregate keeps few of each bucket
         order = F.col("node") if done is None else F.xxhash64("node", "bucket")
         top = now.groupBy("bucket").agg(F.min_by("node", order).alias("c")) if centres == 1 else _smallest(now, order, centres)
-        top = top.join(now.select("node", F.col("n").alias("c_n"), F.col("label").alias("c_label")).distinct(), F.col("c") == F.col("node")).select(F.col("bucket").alias("of"), "c", "c_n", "c_label")
-        pairs = now.join(top, F.col("bucket") == F.col("of")).where((F.col("label") != F.col("c_label")) & (F.least("n", "c_n") >= least * F.greatest("n", "c_n")))
+        top = top.join(now.select("node", F.col("n").alias("c_n"), F.col("m").alias("c_m"), F.col("label").alias("c_label")).distinct(), F.col("c") == F.col("node")).select(F.col("bucket").alias("of"), "c", "c_n", "c_m", "c_label")
+        most = F.least("m", "c_m")  # the overlap at most
+        pairs = now.join(top, F.col("bucket") == F.col("of")).where((F.col("label") != F.col("c_label")) & (most >= (least - 1e-9) * (F.col("n") + F.col("c_n") - most)))
         pairs = pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
