@@ -173,8 +173,9 @@ def _collect(scheme: Scheme, n_shards: int):
                 packed = short(key)
                 for k, d, i in pack(shard, packed[sent], doc_or_many):
                     put(int(shard[i]), None, k, d)
-                for k, i in pack(doc[many], packed[many]):
-                    own = int(doc[many][i])
+                owner = doc[many]
+                for k, i in pack(owner, packed[many]):
+                    own = int(owner[i])
                     put(own % n_shards, own, k, None)
                 yield pa.RecordBatch.from_pydict(out, schema=_FOUND)
 

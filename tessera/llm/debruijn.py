@@ -79,8 +79,9 @@ def _edges(n_shards: int):
                 for h, l, d, p, i in pack(shard, hi[sent], lo[sent], doc[sent], pos[sent]):
                     put(int(shard[i]), None, h, l, d, p, None, None)
                 late = ~sent
-                for p, s, q, i in pack(doc[late], pos[late], doc[head][late], pos[head][late]):
-                    put(int(doc[late][i]) % n_shards, int(doc[late][i]), None, None, None, p, s, q)
+                owner = doc[late]
+                for p, s, q, i in pack(owner, pos[late], doc[head][late], pos[head][late]):
+                    put(int(owner[i]) % n_shards, int(owner[i]), None, None, None, p, s, q)
                 yield pa.RecordBatch.from_pydict(out, schema=_EDGE)
 
     return run
@@ -101,7 +102,8 @@ def _sources(t: pa.Table) -> pa.Table:
     first = first[: len(hi)]
     head = np.flatnonzero(first)[np.cumsum(first) - 1]
     late = doc != doc[head]
-    rows = [(int(doc[late][i]), p, s, q) for p, s, q, i in pack(doc[late], pos[late], doc[head][late], pos[head][late])]
+    owner = doc[late]
+    rows = [(int(owner[i]), p, s, q) for p, s, q, i in pack(owner, pos[late], doc[head][late], pos[head][late])]
     cols = list(zip(*rows, strict=True)) or [()] * 4
     return pa.concat_tables([known, pa.table([pa.array(c, f.type) for c, f in zip(cols, _HELD, strict=True)], schema=_HELD)])
 

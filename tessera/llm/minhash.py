@@ -212,7 +212,8 @@ def _occurrences(n_shards: int):
                 first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
                 alone = np.diff(np.append(first, len(s))) == 1
                 node = np.where(alone, nodes[part][text[first]] if len(s) else 0, MANY)
-                rows = [(int(s[first][i] % _U(n_shards)), k, d, n) for k, d, n, i in pack((s[first] % _U(n_shards)).astype(np.int32), short(s[first]), node, w[first].astype(np.uint32))]
+                shard = (s[first] % _U(n_shards)).astype(np.int32)
+                rows = [(int(shard[i]), k, d, n) for k, d, n, i in pack(shard, short(s[first]), node, w[first].astype(np.uint32))]
                 cols = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["shard", "key", "node", "n"])
 

@@ -124,8 +124,9 @@ def _batch(splitters, context, doc, at, first, last) -> pa.RecordBatch:
     bucket = np.searchsorted(splitters, _leading(context[sent]), side="right").astype(np.int32)
     for c, d, a, f, z, i in pack(bucket, context[sent], doc[sent], at[sent].astype(np.uint32), first[sent].astype(np.uint8), last[sent].astype(np.uint8)):
         put(int(bucket[i]), None, c, d, a, f, z)
-    for a, z, i in pack(doc[late], (at - first)[late].astype(np.uint32), (at - last + WINDOW)[late].astype(np.uint32)):
-        put(int(doc[late][i]) % (len(splitters) + 1), int(doc[late][i]), None, None, None, a, z)
+    owner = doc[late]
+    for a, z, i in pack(owner, (at - first)[late].astype(np.uint32), (at - last + WINDOW)[late].astype(np.uint32)):
+        put(int(owner[i]) % (len(splitters) + 1), int(owner[i]), None, None, None, a, z)
     return pa.RecordBatch.from_pydict(out, schema=_ENTRY)
 
 
