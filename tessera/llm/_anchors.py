@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialize, shards_for
+from tessera.llm._common import materialize, shards_for, sweep
 
 U = np.uint64
 MANY = np.iinfo(np.int64).min
@@ -141,7 +141,19 @@ def pack(by: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
         yield (*(a[part].tobytes() for a in arrays), part[0])
 
 
-_FOUND = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("key", pa.binary()), ("doc", pa.binary())])
+def block_of(doc: np.ndarray, n: int) -> np.ndarray:
+    """Documents come back in blocks, a row for a shard and a block, however many they are."""
+    return (mix(doc.astype(U)) % U(n)).astype(np.int32)
+
+
+def by_document(doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each document and the places of its entries."""
+    order = np.argsort(doc, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1) if len(doc) else []:
+        yield int(doc[part[0]]), part
+
+
+_FOUND = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("key", pa.binary()), ("doc", pa.binary())])
 
 
 def _collect(scheme: Scheme, n_shards: int):
@@ -173,40 +185,53 @@ def _collect(scheme: Scheme, n_shards: int):
                 packed = short(key)
                 for k, d, i in pack(shard, packed[sent], doc_or_many):
                     put(int(shard[i]), None, k, d)
-                owner = doc[many]
-                for k, i in pack(owner, packed[many]):
-                    own = int(owner[i])
-                    put(own % n_shards, own, k, None)
+                owner = block_of(doc[many], n_shards)
+                for k, d, i in pack(owner, packed[many], doc[many]):
+                    put(int(owner[i]), int(owner[i]), k, d)
                 yield pa.RecordBatch.from_pydict(out, schema=_FOUND)
 
     return run
 
 
-_KEYS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
+_ANSWER = pa.schema([("block", pa.int32()), ("key", pa.binary()), ("doc", pa.binary())])
+
+
+def _shared(n_shards: int):
+    def run(t: pa.Table) -> pa.Table:
+        """One shard: the anchors that two documents hold, for their blocks; those known before pass through."""
+        known = t.filter(pc.is_valid(t.column("block"))).select(_ANSWER.names).cast(_ANSWER)
+        t = t.filter(pc.is_null(t.column("block")))
+        key, doc = whole(b"".join(t.column("key").to_pylist())), np.frombuffer(b"".join(t.column("doc").to_pylist()), "<i8")
+        order = np.argsort(key)
+        key, doc = key[order], doc[order]
+        same = key[1:] == key[:-1]
+        hit = (np.append(False, same) | np.append(same, False))[: len(key)] & (doc != MANY)
+        key, doc = key[hit], doc[hit]
+        block = block_of(doc, n_shards)
+        rows = [(int(block[i]), k, d) for k, d, i in pack(block, short(key), doc)]
+        cols = list(zip(*rows, strict=True)) or [()] * 3
+        return pa.concat_tables([known, pa.table([pa.array(c, f.type) for c, f in zip(cols, _ANSWER, strict=True)], schema=_ANSWER)])
+
+    return run
 
 
-def _shared(t: pa.Table) -> pa.Table:
-    """One shard: the anchors that two documents hold, by document; those known before pass through."""
-    t = t.select(["doc_id", "key", "doc"])
-    sent = t.filter(pc.is_null(t.column("doc_id")))
-    known = t.filter(pc.is_valid(t.column("doc_id"))).select(["doc_id", "key"])
-    key, doc = whole(b"".join(sent.column("key").to_pylist())), np.frombuffer(b"".join(sent.column("doc").to_pylist()), "<i8")
-    order = np.argsort(key)
-    key, doc = key[order], doc[order]
-    same = key[1:] == key[:-1]
-    hit = (np.append(False, same) | np.append(same, False))[: len(key)] & (doc != MANY)
-    key, doc = key[hit], doc[hit]
-    rows = [(int(doc[i]), k) for k, i in pack(doc, short(key))]
-    return pa.concat_tables([known.cast(_KEYS), pa.table([pa.array([d for d, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.binary())], schema=_KEYS)])
+def _handed_back(t: pa.Table) -> pa.Table:
+    """One block: a row for each document with its anchors."""
+    key, doc = np.frombuffer(b"".join(t.column("key").to_pylist()), np.uint8).reshape(-1, KEY_BYTES), np.frombuffer(b"".join(t.column("doc").to_pylist()), "<i8")
+    rows = [(d, key[at].tobytes()) for d, at in by_document(doc)]
+    return pa.table([pa.array([d for d, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.binary())], names=["doc_id", "keys"])
 
 
 def shared_anchors(docs: DataFrame, scheme: Scheme, bytes_per_shard: int) -> DataFrame:
     """(doc_id, keys): for each document with any, the anchor hashes that another document may hold. ``docs``: (id, text)."""
     n = shards_for(docs, "text", bytes_per_shard)
-    found = docs.mapInArrow(_collect(scheme, n), "shard int, doc_id long, key binary, doc binary")
-    answers = found.groupBy("shard").applyInArrow(_shared, "doc_id long, key binary")
-    return materialize(answers.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "shared-anchors")
+    found = docs.mapInArrow(_collect(scheme, n), "shard int, block int, key binary, doc binary")
+    answers = found.groupBy("shard").applyInArrow(_shared(n), "block int, key binary, doc binary")
+    out = materialize(answers.groupBy("block").applyInArrow(_handed_back, "doc_id long, keys binary"), "shared-anchors")
+    del found, answers
+    sweep(docs.sparkSession)
+    return out
 
 
-def keys_of(packed: list[bytes] | None) -> np.ndarray:
-    return np.unique(whole(b"".join(packed or [])))
+def keys_of(packed: bytes | None) -> np.ndarray:
+    return np.unique(whole(packed or b""))

@@ -44,13 +44,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and nothing needs any more, and let shuffle files of finished jobs go."""
+    """Delete tables that ``materialize`` wrote and nothing needs any more, and sweep."""
     for df in tables:
         spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             remove(spark, folder)
+    sweep(tables[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go: the driver's cleaner follows its garbage collection."""
     gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()  # the driver's cleaner follows its garbage collection
+    spark.sparkContext._jvm.System.gc()
 
 
 def hadoop_path(spark: SparkSession, path: str):

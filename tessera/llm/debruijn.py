@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._anchors import Scheme, U, keys_of, mix, pack, rolling, shared_anchors, sliding_min
+from tessera.llm._anchors import Scheme, U, block_of, by_document, keys_of, mix, pack, rolling, shared_anchors, sliding_min
 from tessera.llm._common import materialize, release, shards_for
 
 WINDOW, ANCHOR = 13, 7
@@ -42,8 +42,8 @@ def _symbols(text: bytes) -> np.ndarray:
 
 SCHEME = Scheme(WINDOW, ANCHOR, _symbols, 600_000)
 
-_EDGE = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("hi", pa.binary()), ("lo", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary()), ("source", pa.binary()), ("source_pos", pa.binary())])
-EDGE = "shard int, doc_id long, hi binary, lo binary, doc binary, pos binary, source binary, source_pos binary"
+_EDGE = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("hi", pa.binary()), ("lo", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary()), ("source", pa.binary()), ("source_pos", pa.binary())])
+EDGE = "shard int, block int, hi binary, lo binary, doc binary, pos binary, source binary, source_pos binary"
 
 
 def _edges(n_shards: int):
@@ -79,33 +79,35 @@ def _edges(n_shards: int):
                 for h, l, d, p, i in pack(shard, hi[sent], lo[sent], doc[sent], pos[sent]):
                     put(int(shard[i]), None, h, l, d, p, None, None)
                 late = ~sent
-                owner = doc[late]
-                for p, s, q, i in pack(owner, pos[late], doc[head][late], pos[head][late]):
-                    put(int(owner[i]) % n_shards, int(owner[i]), None, None, None, p, s, q)
+                block = block_of(doc[late], n_shards)
+                for d, p, s, q, i in pack(block, doc[late], pos[late], doc[head][late], pos[head][late]):
+                    put(int(block[i]), int(block[i]), None, None, d, p, s, q)
                 yield pa.RecordBatch.from_pydict(out, schema=_EDGE)
 
     return run
 
 
-_HELD = pa.schema([("doc_id", pa.int64()), ("pos", pa.binary()), ("source", pa.binary()), ("source_pos", pa.binary())])
-HELD = "doc_id long, pos binary, source binary, source_pos binary"
+_HELD = pa.schema([("block", pa.int32()), ("doc", pa.binary()), ("pos", pa.binary()), ("source", pa.binary()), ("source_pos", pa.binary())])
+HELD = "block int, doc binary, pos binary, source binary, source_pos binary"
 
 
-def _sources(t: pa.Table) -> pa.Table:
-    """One shard: edges whose smallest holder is another document, with that source; those known before pass through."""
-    known = t.filter(pc.is_valid(t.column("doc_id"))).select(_HELD.names).cast(_HELD)
-    t = t.filter(pc.is_null(t.column("doc_id")))
-    hi, lo, doc, pos = (np.frombuffer(b"".join(t.column(n).to_pylist()), kind) for n, kind in (("hi", "<u8"), ("lo", "<u4"), ("doc", "<i8"), ("pos", "<u4")))
-    order = np.lexsort((pos, doc, lo, hi))
-    hi, lo, doc, pos = hi[order], lo[order], doc[order], pos[order]
-    first = np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))
-    first = first[: len(hi)]
-    head = np.flatnonzero(first)[np.cumsum(first) - 1]
-    late = doc != doc[head]
-    owner = doc[late]
-    rows = [(int(owner[i]), p, s, q) for p, s, q, i in pack(owner, pos[late], doc[head][late], pos[head][late])]
-    cols = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.concat_tables([known, pa.table([pa.array(c, f.type) for c, f in zip(cols, _HELD, strict=True)], schema=_HELD)])
+def _sources(n_shards: int):
+    def run(t: pa.Table) -> pa.Table:
+        """One shard: edges whose smallest holder is another document, with that source; those known before pass through."""
+        known = t.filter(pc.is_valid(t.column("block"))).select(_HELD.names).cast(_HELD)
+        t = t.filter(pc.is_null(t.column("block")))
+        hi, lo, doc, pos = (np.frombuffer(b"".join(t.column(n).to_pylist()), kind) for n, kind in (("hi", "<u8"), ("lo", "<u4"), ("doc", "<i8"), ("pos", "<u4")))
+        order = np.lexsort((pos, doc, lo, hi))
+        hi, lo, doc, pos = hi[order], lo[order], doc[order], pos[order]
+        first = np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))[: len(hi)]
+        head = np.flatnonzero(first)[np.cumsum(first) - 1]
+        late = doc != doc[head]
+        block = block_of(doc[late], n_shards)
+        rows = [(int(block[i]), d, p, s, q) for d, p, s, q, i in pack(block, doc[late], pos[late], doc[head][late], pos[head][late])]
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.concat_tables([known, pa.table([pa.array(c, f.type) for c, f in zip(cols, _HELD, strict=True)], schema=_HELD)])
+
+    return run
 
 
 def compact(pos: np.ndarray, source: np.ndarray, source_pos: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -117,15 +119,18 @@ def compact(pos: np.ndarray, source: np.ndarray, source_pos: np.ndarray) -> list
     return list(zip(pos[at].tolist(), np.diff(np.append(at, len(pos))).tolist(), source[at].tolist(), source_pos[at].tolist(), strict=True))
 
 
-def _compact(batches):
-    schema = pa.schema([("drop_id", pa.int64()), ("start", pa.list_(pa.int64())), ("edges", pa.list_(pa.int64())), ("source", pa.list_(pa.int64())), ("source_start", pa.list_(pa.int64()))])
-    for b in batches:
-        out: list[list] = [[] for _ in schema]
-        for doc, p, s, q in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
-            spans = compact(np.frombuffer(b"".join(p), "<u4"), np.frombuffer(b"".join(s), "<i8"), np.frombuffer(b"".join(q), "<u4"))
-            for col, v in zip(out, (doc, *map(list, zip(*spans, strict=True))), strict=True):
-                col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+_SPANS = pa.schema([("drop_id", pa.int64()), *((n, pa.list_(pa.int64())) for n in ("start", "edges", "source", "source_start"))])
+SPANS = "drop_id long, start array<long>, edges array<long>, source array<long>, source_start array<long>"
+
+
+def _compact(t: pa.Table) -> pa.Table:
+    """One block: the spans of each document."""
+    doc, pos, source, source_pos = (np.frombuffer(b"".join(t.column(n).to_pylist()), kind) for n, kind in (("doc", "<i8"), ("pos", "<u4"), ("source", "<i8"), ("source_pos", "<u4")))
+    out: list[list] = [[] for _ in _SPANS]
+    for d, at in by_document(doc):
+        for col, v in zip(out, (d, *map(list, zip(*compact(pos[at], source[at], source_pos[at]), strict=True))), strict=True):
+            col.append(v)
+    return pa.table([pa.array(c, f.type) for c, f in zip(out, _SPANS, strict=True)], schema=_SPANS)
 
 
 def _remove(batches):
@@ -154,9 +159,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     n = shards_for(base, "text", BYTES_PER_SHARD)
     anchors = shared_anchors(base, SCHEME, BYTES_PER_SHARD)
     candidates = base.join(anchors, base.id == anchors.doc_id).select("id", "text", "keys")
-    held = candidates.mapInArrow(_edges(n), EDGE).groupBy("shard").applyInArrow(_sources, HELD)
-    by_doc = held.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("pos", "source", "source_pos")])
-    spans = materialize(by_doc.mapInArrow(_compact, "drop_id long, start array<long>, edges array<long>, source array<long>, source_start array<long>"), "spans")
+    held = candidates.mapInArrow(_edges(n), EDGE).groupBy("shard").applyInArrow(_sources(n), HELD)
+    spans = materialize(held.groupBy("block").applyInArrow(_compact, SPANS), "spans")
+    del candidates, held
     release(anchors)
     return spans
 

@@ -32,12 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._anchors import Scheme, U, keys_of, mix, pack, shared_anchors, sliding_argmin
+from tessera.llm._anchors import Scheme, U, block_of, by_document, keys_of, mix, pack, shared_anchors, sliding_argmin
 from tessera.llm._common import materialize, release, shards_for
 
 WINDOW, ANCHOR = 50, 20
 BEFORE = WINDOW - ANCHOR
-BYTES_PER_SHARD = 24 << 20
+BYTES_PER_SHARD = 10 << 20
 #: Documents whose anchors place the splitters, and characters of each; they decide balance, not results.
 SAMPLE_DOCS, SAMPLE_CHARS = 600, 8000
 
@@ -50,8 +50,8 @@ def _symbols(text: bytes) -> np.ndarray:
 
 SCHEME = Scheme(WINDOW, ANCHOR, _symbols, 1_000_000)
 
-_ENTRY = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("context", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
-ENTRY = "bucket int, doc_id long, context binary, doc binary, at binary, first binary, last binary"
+_ENTRY = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("context", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
+ENTRY = "bucket int, block int, context binary, doc binary, at binary, first binary, last binary"
 
 
 def _leading(context: np.ndarray) -> np.ndarray:
@@ -94,7 +94,7 @@ def _entries(splitters: np.ndarray):
                     if len(at):
                         held.append((_contexts(np.frombuffer(piece, np.uint8), at, lo, hi), np.full(len(at), doc), at + s, at - lo, at - hi))
                         size += len(at)
-                if held and (size > 300_000 or i == len(docs) - 1):
+                if held and (size > 150_000 or i == len(docs) - 1):
                     yield _batch(splitters, *(np.concatenate(x) for x in zip(*held, strict=True)))
                     held, size = [], 0
             if held:
@@ -124,9 +124,10 @@ def _batch(splitters, context, doc, at, first, last) -> pa.RecordBatch:
     bucket = np.searchsorted(splitters, _leading(context[sent]), side="right").astype(np.int32)
     for c, d, a, f, z, i in pack(bucket, context[sent], doc[sent], at[sent].astype(np.uint32), first[sent].astype(np.uint8), last[sent].astype(np.uint8)):
         put(int(bucket[i]), None, c, d, a, f, z)
-    owner = doc[late]
-    for a, z, i in pack(owner, (at - first)[late].astype(np.uint32), (at - last + WINDOW)[late].astype(np.uint32)):
-        put(int(owner[i]) % (len(splitters) + 1), int(owner[i]), None, None, None, a, z)
+    n = len(splitters) + 1
+    block = block_of(doc[late], n)
+    for d, a, z, i in pack(block, doc[late], (at - first)[late].astype(np.uint32), (at - last + WINDOW)[late].astype(np.uint32)):
+        put(int(block[i]), int(block[i]), None, d, None, a, z)
     return pa.RecordBatch.from_pydict(out, schema=_ENTRY)
 
 
@@ -156,13 +157,18 @@ def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-_SPAN = pa.schema([("doc_id", pa.int64()), ("first", pa.binary()), ("last", pa.binary())])
+_SPAN = pa.schema([("block", pa.int32()), ("doc", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
+SPAN = "block int, doc binary, first binary, last binary"
 
 
-def _bucket(t: pa.Table) -> pa.Table:
+def _bucket(n_blocks: int):
+    return lambda t: _sorted_bucket(t, n_blocks)
+
+
+def _sorted_bucket(t: pa.Table, n_blocks: int) -> pa.Table:
     """One bucket: windows that a smaller document holds, as [start, end) of bytes; those known before pass through."""
-    known = t.filter(pc.is_valid(t.column("doc_id"))).select(_SPAN.names).cast(_SPAN)
-    t = t.filter(pc.is_null(t.column("doc_id")))
+    known = t.filter(pc.is_valid(t.column("block"))).select(_SPAN.names).cast(_SPAN)
+    t = t.filter(pc.is_null(t.column("block")))
     if not t.num_rows:
         return known
     join = lambda n, kind: np.frombuffer(b"".join(t.column(n).to_pylist()), kind)
@@ -198,11 +204,23 @@ def _bucket(t: pa.Table) -> pa.Table:
         start, owner = start[begin], owner[begin]
     else:
         ends = start
-    rows = [(int(owner[i]), a, z) for a, z, i in pack(owner, start.astype(np.uint32), ends.astype(np.uint32))]
-    cols = list(zip(*rows, strict=True)) or [()] * 3
+    block = block_of(owner, n_blocks)
+    rows = [(int(block[i]), d, a, z) for d, a, z, i in pack(block, owner.astype(np.int64), start.astype(np.uint32), ends.astype(np.uint32))]
+    cols = list(zip(*rows, strict=True)) or [()] * 4
     return pa.concat_tables([known, pa.table([pa.array(c, f.type) for c, f in zip(cols, _SPAN, strict=True)], schema=_SPAN)])
 
 
+def _merged(t: pa.Table) -> pa.Table:
+    """One block: the merged spans of each document."""
+    doc, first, last = (np.frombuffer(b"".join(t.column(n).to_pylist()), kind) for n, kind in (("doc", "<i8"), ("first", "<u4"), ("last", "<u4")))
+    rows = []
+    for d, at in by_document(doc):
+        a, z = merge_spans(first[at].astype(np.int64), last[at].astype(np.int64))
+        rows.append((d, a.astype(np.uint32).tobytes(), z.astype(np.uint32).tobytes()))
+    cols = list(zip(*rows, strict=True)) or [()] * 3
+    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["drop_id", "first", "last"])
+
+
 def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the union of [start, end)."""
     order = np.argsort(start, kind="stable")
@@ -222,7 +240,7 @@ def _remove(batches):
             n_bytes.append(len(text))
             spans = 0
             if first:
-                s, e = merge_spans(np.frombuffer(b"".join(first), "<u4").astype(np.int64), np.frombuffer(b"".join(last), "<u4").astype(np.int64))
+                s, e = np.frombuffer(first, "<u4"), np.frombuffer(last, "<u4")
                 spans = len(s)
                 view = memoryview(text)
                 text = b"".join(view[a:z] for a, z in zip([0, *e.tolist()], [*s.tolist(), len(view)], strict=True))
@@ -254,8 +272,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     splitters = _splitters(base, n)
     anchors = shared_anchors(base, SCHEME, BYTES_PER_SHARD)
     candidates = base.join(anchors, base.id == anchors.doc_id).select("id", "text", "keys")
-    found = candidates.mapInArrow(_entries(splitters), ENTRY).groupBy("bucket").applyInArrow(_bucket, "doc_id long, first binary, last binary")
-    spans = materialize(found.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")), "spans")
+    found = candidates.mapInArrow(_entries(splitters), ENTRY).groupBy("bucket").applyInArrow(_bucket(len(splitters) + 1), SPAN)
+    spans = materialize(found.groupBy("block").applyInArrow(_merged, "drop_id long, first binary, last binary"), "spans")
+    del candidates, found
     release(anchors)
     return spans
 
