@@ -9,8 +9,8 @@ stops at the latest of the registers' times, so heavy shingles and long texts co
 
 Bands of ``ROWS`` registers make buckets; at a similarity of 0.8 a pair shares none of the 20 bands
 with a probability of 3e-5. In a bucket, members meet centres, not each other: first the
-smallest member, then, in buckets that still hold texts of different classes, ``GROWTH`` times as
-many centres each round, without a cap, until every pair of different classes has been checked or
+smallest member, then, in buckets that still hold texts of different classes, ``FEW`` centres, then
+``GROWTH`` times as many each round, without a cap, until every pair of different classes has been checked or
 linked. Occurrences of shingles that only one text holds are in no overlap, which rules out most pairs
 of texts that share a template or passage. Other candidates are checked by the exact multiset similarity; links join classes by label
 propagation with pointer jumping, each round written to the shared folder.
@@ -41,8 +41,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
-#: Centres of a mixed bucket, from a round to the next.
-GROWTH = 64
+#: Centres of a mixed bucket in the second round, and how many times as many from a round to the next.
+FEW, GROWTH = 4, 16
 BYTES_PER_SHARD = 32 << 20
 #: Texts are signed in runs of about so many bytes, which bounds a worker's memory.
 CHUNK_BYTES = 5_000_000
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("bucket").alias("of"))
             now = now.join(mixed, F.col("bucket") == F.col("of")).drop("of")
         # the members of smallest salted hash are the centres: a partial aggregate keeps few of each bucket
-        order = F.col("node") if done is None else F.xxhash64("node", "bucket")
+        order = F.col("node") if done is None else F.xxhash64("node")  # buckets of one family agree on their centres
         top = now.groupBy("bucket").agg(F.min_by("node", order).alias("c")) if centres == 1 else _smallest(now, order, centres)
         top = top.join(now.select("node", F.col("n").alias("c_n"), F.col("m").alias("c_m"), F.col("label").alias("c_label")).distinct(), F.col("c") == F.col("node")).select(F.col("bucket").alias("of"), "c", "c_n", "c_m", "c_label")
         most = F.least("m", "c_m")  # the overlap at most
@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             links = materialize(full.mapInArrow(_check(least), "a long, b long"), "checked")
             labels = components(labels, links)
             done = pairs if done is None else done.unionByName(pairs)
-        centres *= GROWTH
+        centres = FEW if centres == 1 else centres * GROWTH
 
     classes = groups.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.col("words").alias("w"), F.coalesce("label", "node").alias("class"))
     return signed.select("id", "words").join(classes, F.col("words") == F.col("w"), "left").select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class_id"))
