@@ -235,14 +235,16 @@ def _private(t: pa.Table) -> pa.Table:
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label) with each node's label the smallest of its component; ``links`` (a, b) are between nodes.
 
-    Labels flow over links and jump to their label's label until nothing changes.
+    Nodes of one label are of one class already, whatever linked them: links are taken as links of labels.
+    Labels flow over these and jump to their label's label until nothing changes; nodes follow their old label.
     """
-    both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").where("x <> y").select("x", "y")
+    both = materialize(ends.unionByName(ends.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
     if both.isEmpty():
         return labels
-    touched = labels
+    touched = both.select(F.col("x").alias("node"), F.col("x").alias("label")).distinct()
     while True:
-        near = both.join(touched.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("at")).agg(F.min("label").alias("near"))
+        near = both.join(touched.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("at")).agg(F.min("label").alias("near"))
         new = touched.join(near, touched.node == near["at"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         # a label that found a smaller one takes its whole class along
         hooks = new.where("label < old").groupBy(F.col("old").alias("root")).agg(F.min("label").alias("to"))
@@ -250,7 +252,9 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         moved = materialize(moved, "labels")
         touched = moved.select("node", "label")
         if moved.where("label < old").isEmpty():
-            return touched
+            break
+    to = touched.select(F.col("node").alias("was"), F.col("label").alias("to"))
+    return materialize(labels.join(to, F.col("label") == F.col("was"), "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:

@@ -97,6 +97,14 @@ def test_minhash_classes(docs):
     assert len(set(got.values())) < len(got) - 8
 
 
+def test_minhash_links_join_whole_classes(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 5), (7, 5), (8, 8), (9, 8)], "node long, label long")
+    links = spark.createDataFrame([(3, 6), (4, 7), (2, 9)], "a long, b long")  # class 5 finds 3 and 4 in one step
+    got = dict(tuple(r) for r in minhash.components(labels, links).collect())
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3, 5: 3, 6: 3, 7: 3, 8: 2, 9: 2}
+    assert minhash.components(labels, links.where("a < 0")).count() == 9
+
+
 def test_minhash_estimates_similarity():
     import numpy as np
 
