@@ -3,8 +3,9 @@
 Texts are lower-cased and split at everything but letters and digits (of ASCII, and all other
 characters count as letters); a shingle is five words, hashed. A document can hold a window
 similar to an item only if it holds enough of the item's shingles, so documents' shingles meet
-the items' in one equi-join, and counts per (document, item) prune exactly. Each hit that is
-left names a window of the item's size. Windows and items get 64-bit SimHash fingerprints over
+the items' in one equi-join, and counts per (document, item) prune exactly. For the pairs that are
+left, a running sum over the places of the hits tells which windows of the item's size hold enough of
+the item's weight; every one of them is cut, whatever the order of the item's parts. Windows and items get 64-bit SimHash fingerprints over
 weighted shingles; fingerprints are cut into ``RADIUS + 1`` blocks, and two within the radius
 agree in one block at least, so the block join finds all of them. Those are verified by the
 exact weighted Jaccard similarity of the shingle multisets. A shingle weighs
@@ -24,7 +25,7 @@ an empty result; other columns pass through, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._common import materialize
@@ -81,17 +82,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
     known = docs.where(F.col(doc_id).isNotNull())
     hashed = _hashed(known, doc_id, text)
-    hits = materialize(hashed.select("key", F.posexplode("g").alias("p", "h")).join(weights.select("h"), "h", "left_semi"), "hits")
+    hits = materialize(hashed.select("key", "n_words", F.posexplode("g").alias("p", "h")).join(weights.select("h"), "h", "left_semi"), "hits")
     # weighted Jaccard of s needs shared weight of at least s of the item's: an exact prune
     held = hits.select("key", "h").distinct().join(bags, "h").groupBy("key", "item").agg(F.sum(F.col("weight") * F.col("n")).alias("shared"))
-    pairs = held.join(sums, "item").where(F.col("shared") >= similarity * F.col("item_weight")).select("key", "item")
-    starts = hits.join(each, "h").join(pairs, ["key", "item"]).select("key", "item", "item_words", (F.col("p") - F.col("q")).alias("start")).distinct()
+    pairs = held.join(sums, "item").where(F.col("shared") >= similarity * F.col("item_weight")).select("key", "item", "item_weight")
+    # each hit weighs from the first start whose window holds it to the last; starts between two changes hold the same
+    wide = F.least("item_words", "n_words")
+    at = F.explode(F.array(F.struct((F.col("p") - (wide - SHINGLE)).alias("s"), F.col("weight").alias("d")), F.struct((F.col("p") + 1).alias("s"), (-F.col("weight")).alias("d")))).alias("at")
+    of_pair = ["key", "n_words", "item", "item_words", "item_weight"]
+    changes = hits.join(bags.select("item", "item_words", "h", "weight"), "h").join(pairs, ["key", "item"]).select(*of_pair, at).groupBy(*of_pair, F.col("at.s").alias("s")).agg(F.sum("at.d").alias("d"))
+    along = Window.partitionBy(*of_pair).orderBy("s")
+    runs = changes.select(*of_pair, "s", F.sum("d").over(along).alias("held"), F.lead("s").over(along).alias("next")).where(F.col("held") >= similarity * F.col("item_weight"))
+    runs = runs.select("key", "n_words", "item", "item_words", F.greatest("s", F.lit(0)).alias("a"), F.least(F.col("next") - 1, F.col("n_words") - wide).alias("z")).where("a <= z")
+    starts = runs.select("key", "n_words", "item", "item_words", F.explode(F.sequence("a", "z")).alias("start"))
     starts = materialize(starts, "starts")
 
     texts = hashed.join(starts.select("key").distinct(), "key", "left_semi")
-    wide = F.least("item_words", "n_words")
-    first = F.greatest(F.lit(0), F.least(F.col("start"), F.col("n_words") - wide))
-    windows = texts.join(starts, "key").where("n_words >= 5").select("key", "item", first.alias("start"), wide.alias("words"), F.slice("g", first + 1, F.greatest(wide - (SHINGLE - 1), F.lit(1))).alias("g")).distinct()
+    windows = texts.join(starts, ["key", "n_words"]).select("key", "item", "start", wide.alias("words"), F.slice("g", F.col("start") + 1, F.greatest(wide - (SHINGLE - 1), F.lit(1))).alias("g")).distinct()
     rows = windows.select("key", "item", "start", "words", F.explode("g").alias("h"), F.xxhash64("g").alias("copy")).groupBy("key", "item", "start", "words", "copy", "h").agg(F.count("*").alias("n"))
     rows = rows.join(weights, "h", "left").withColumn("weight", F.coalesce("w", weigh(F.lit(1)))).drop("w")
     rows = materialize(rows, "windows")

@@ -211,6 +211,17 @@ def test_decontamination(spark, docs):
     assert {r["doc_id"] for r in left.collect()} == {d for d, _ in rows} - {d for d, _ in got}
 
 
+def test_decontamination_at_every_start(spark, docs):
+    item = [f"w{i}" for i in range(80)]
+    spread = [w for i, w in enumerate(item) for w in ([w, "more"] if i in (26, 53) else [w])]
+    texts = [item[40:] + item[:40], spread, item[60:] + item[:60], item[20:40] + item[60:] + item[:20] + item[40:60]]
+    rows = [(i, " ".join([prose(60, 90 + i), *t, prose(50, 95 + i)])) for i, t in enumerate(texts)] + [(8, prose(300, 99)), (9, " ".join(texts[0][:70])), (9, " ".join(texts[0]))]
+    items = [(1, " ".join(item)), (2, prose(40, 80))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(rows), bench).collect()}
+    assert got == decontaminate.brute_force(rows, items) and {(0, 1), (2, 1), (9, 1)} <= got
+
+
 def test_warc_round_trip(spark):
     import base64
     import hashlib
