@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Spark removes a query's shuffle files when the query ends.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,26 +37,44 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as a table in the shared folder and read it back: cuts the lineage durably."""
+    """Write a frame as a table in the shared folder and read it back: cuts the lineage durably.
+
+    The shuffle files of the write go with it, by Spark's own setting, which is put back after it.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP_KEY, None)
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP_KEY) if before is None else spark.conf.set(CLEANUP_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and nothing needs any more, and sweep."""
+    """Delete tables that ``materialize`` wrote and nothing needs any more."""
     for df in tables:
-        spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            remove(spark, folder)
-    sweep(tables[0].sparkSession)
+            remove(df.sparkSession, folder)
+
+
+def unused(taken: list[str], name: str) -> str:
+    """A column name that none of ``taken`` equals in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let the shuffle files of finished jobs go: the driver's cleaner follows its garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def anti_join(docs: DataFrame, lost: DataFrame, on: dict[str, F.Column]) -> DataFrame:
+    """The rows of ``docs`` whose values of ``on`` are no row of ``lost``; ``on``: a column of ``lost`` and its value in ``docs``."""
+    names = {c: unused(docs.columns, f"lost_{c}") for c in on}
+    right = lost.select(*[F.col(c).alias(names[c]) for c in on])
+    same = F.lit(True)
+    for c, value in on.items():
+        same = same & (value == F.col(names[c]))
+    return docs.join(right, same, "left_anti")
 
 
 def hadoop_path(spark: SparkSession, path: str):

@@ -161,7 +161,6 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     candidates = base.join(anchors, base.id == anchors.doc_id).select("id", "text", "keys")
     held = candidates.mapInArrow(_edges(n), EDGE).groupBy("shard").applyInArrow(_sources(n), HELD)
     spans = materialize(held.groupBy("block").applyInArrow(_compact, SPANS), "spans")
-    del candidates, held
     release(anchors)
     return spans
 

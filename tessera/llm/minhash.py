@@ -1,49 +1,57 @@
 """MinHash near-dedup (operator 7): BagMinHash signatures of shingle multisets, bands, exact checks.
 
 A text is the multiset of its shingles of five lower-cased words; w occurrences of a shingle
-weigh w. Each shingle has independent Poisson processes over the weight octaves [0,1), [1,2),
-[2,4), ...; a point falls into one of ``REGISTERS`` registers, and counts if its weight position is
-below w. A register keeps its earliest point, so two texts agree in a register with the
-probability of their weighted Jaccard similarity. Points come in the order of time and a process
-stops at the latest of the registers' times, so heavy shingles and long texts cost little.
+weigh w. Each shingle has Poisson processes over the weight octaves [0,1), [1,2), [2,4), ...; an
+octave is split in halves, down to single levels of weight: the half that holds the first point
+keeps its time, the other waits anew, and halves above w are left out. A level's points fall into
+one of ``REGISTERS`` registers, and a register keeps its earliest point, so two texts agree in a
+register with the probability of their weighted Jaccard similarity. A process whose next point is
+later than all the text's registers ends with all its halves, so heavy shingles and long texts cost little.
 
 Bands of ``ROWS`` registers make buckets; at a similarity of 0.8 a pair shares none of the 20 bands
-with a probability of 3e-5. In a bucket, members meet centres, not each other: first the
-smallest member, then, in buckets that still hold texts of different classes, ``FEW`` centres, then
-``GROWTH`` times as many each round, without a cap, until every pair of different classes has been checked or
-linked. Occurrences of shingles that only one text holds are in no overlap, which rules out most pairs
-of texts that share a template or passage. Other candidates are checked by the exact multiset similarity; links join classes by label
-propagation with pointer jumping, each round written to the shared folder.
+with a probability of 3e-5. All pairs of different texts that share a bucket are settled, in two steps:
+
+1. Every member of a bucket meets the bucket's representative, the member whose buckets are
+   fullest, so that a family agrees on few of them. A pair that shares several buckets meets once.
+2. Buckets whose other members still are of different classes go whole to a solver, a row for a
+   member: large ones as tiles of at most ``TILE`` members a side, every two parts meeting in one.
+   A solver drops texts that share too little of themselves with the tile, counts the overlaps
+   of the others by matrix products, and returns as many links as it joins classes, so rows
+   follow members and not pairs.
+
+Both compare sets of (shingle, occurrence) by 64-bit hashes, whose Jaccard similarity is the
+multisets'. Links join classes by label propagation with pointer jumping, each round written to
+the shared folder.
 
 Copies (equal words) are one text throughout: they are grouped by a hash of their words with
 map-side aggregation, and expanded at the end by an equi-join of small rows.
 
 Defined results: null and empty texts have no shingle and each is a class of its own; a text of
 fewer than five words is one shingle of all its words; a row with a null id has a null class;
-rows that share an id share the class of the id's smallest class; an empty table gives an empty
-result; other columns pass through, whatever their names.
+the class of a row is that of its text, so rows that share an id but not the text may be of
+different classes, and ``keep_first`` drops a row by its own class alone; rows that share both
+are kept together; an empty table gives an empty result; other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._anchors import KEY_MASK, MANY, pack, short, whole
-from tessera.llm._common import materialize, shards_for
+from tessera.llm._common import anti_join, materialize, release
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
-#: Centres of a mixed bucket in the second round, and how many times as many from a round to the next.
-FEW, GROWTH = 4, 16
-BYTES_PER_SHARD = 32 << 20
+#: Members a side, and (shingle, occurrence) pairs a side, of what a solver holds at a time.
+TILE, TILE_ELEMENTS = 1024, 2_000_000
+#: Members that meet one copy of their representative.
+SPAN = 256
 #: Texts are signed in runs of about so many bytes, which bounds a worker's memory.
 CHUNK_BYTES = 5_000_000
 
@@ -92,48 +100,61 @@ def bags(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[first], s[first], np.diff(np.append(first, len(key)))
 
 
+def _wait(seed: np.ndarray) -> np.ndarray:
+    """An exponential waiting time of rate 1 for each number."""
+    return -np.log(((seed >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53)
+
+
 def signatures(texts: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
     """BagMinHash: a row of register values for each text; texts without shingles get zeros."""
     n = len(texts)
     text, s, w = bags(texts)
-    rate, part = np.ones(len(s)), np.ones(len(s))
-    seed = _mix(s)
+    # a process: its text, its random number, the levels of weight it spans, how many of them the text has, its first point
+    more = [(text, _mix(s), np.ones(len(s), np.int64), np.ones(len(s), np.int64))]
     low = 1
-    more = [(text, seed, rate, part)]
     while len(sub := np.flatnonzero(w > low)):
-        more.append((text[sub], _mix(s[sub] + _U(low * int(_STEP[1]) & 0xFFFFFFFFFFFFFFFF)), np.full(len(sub), float(low)), np.minimum(1.0, (w[sub] - low) / low)))
+        more.append((text[sub], _mix(s[sub] + _U(low * int(_STEP[1]) & 0xFFFFFFFFFFFFFFFF)), np.full(len(sub), low), np.minimum(low, w[sub] - low)))
         low *= 2
-    text, seed, rate, part = (np.concatenate(x) for x in zip(*more, strict=True))
-    time = np.zeros(len(text))
+    text, seed, span, room = (np.concatenate(x) for x in zip(*more, strict=True))
+    time = _wait(seed) / span
     best = np.full(n * registers, np.inf)
     ident = np.zeros(n * registers, _U)
-    k = 0
     while len(text):
-        k += 1
-        point = _mix(seed + _U(k * int(_STEP[2]) & 0xFFFFFFFFFFFFFFFF))
-        time = time - np.log(((point >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
-        other = _mix(point + _STEP[3])
-        slot = text * registers + (other % _U(registers)).astype(np.int64)
-        good = (_mix(other) >> _U(11)).astype(np.float64) * 2.0**-53 < part
-        np.minimum.at(best, slot[good], time[good])
-        won = good & (best[slot] == time)
+        level = span == 1
+        t, point, x = text[level], seed[level], time[level]
+        slot = t * registers + (_mix(point + _STEP[3]) % _U(registers)).astype(np.int64)
+        np.minimum.at(best, slot, x)
+        won = best[slot] == x
         ident[slot[won]] = point[won]
-        latest = best.reshape(n, registers).max(axis=1)
-        on = time < latest[text]
-        text, seed, rate, part, time = text[on], seed[on], rate[on], part[on], time[on]
+        then = _mix(point + _STEP[2])
+        one = np.ones(len(t), np.int64)
+        parts = [(t, then, one, one, x + _wait(then))]
+        if len(up := np.flatnonzero(~level)):
+            t, whole, half, has, x = text[up], seed[up], span[up] // 2, room[up], time[up]
+            lower_first = _mix(whole + _STEP[4]) & _U(1) == 0
+            lower, upper = _mix(whole + _STEP[0]), _mix(whole + _STEP[1])
+            parts.append((t, lower, half, np.minimum(has, half), np.where(lower_first, x, x + _wait(lower) / half)))
+            in_upper = has > half
+            parts.append(tuple(v[in_upper] for v in (t, upper, half, has - half, np.where(lower_first, x + _wait(upper) / half, x))))
+        text, seed, span, room, time = (np.concatenate(v) for v in zip(*parts, strict=True))
+        on = time < best.reshape(n, registers).max(axis=1)[text]
+        text, seed, span, room, time = text[on], seed[on], span[on], room[on], time[on]
     return ident.reshape(n, registers)
 
 
-_SIGNED = pa.schema([("id", pa.int64()), ("words", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def _runs(texts: list[bytes]) -> list[np.ndarray]:
+    """The numbers of the texts, in runs of about CHUNK_BYTES."""
+    upto = np.cumsum([len(x) for x in texts]) // CHUNK_BYTES if texts else np.zeros(0, np.int64)
+    return [p for p in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(upto)) + 1) if len(p)]
+
+
+_SIGNED = pa.schema([("id", pa.int64()), ("copy", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(batches):
     for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
-        run = np.cumsum([len(x) for x in texts]) // CHUNK_BYTES if texts else []
-        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(run)) + 1):
-            if not len(part):
-                continue
+        texts = b.column(2).cast(pa.binary()).fill_null(b"").to_pylist()
+        for part in _runs(texts):
             hashes = [word_hashes(texts[i]) for i in part]
             sig = signatures(hashes)
             bands = np.zeros((len(part), BANDS), _U)
@@ -142,94 +163,159 @@ def _sign(batches):
             bands ^= _mix(np.arange(BANDS, dtype=_U))  # so that bands don't meet each other
             some = [len(h) > 0 for h in hashes]
             yield pa.RecordBatch.from_arrays([
-                pa.array([ids[i] for i in part], pa.int64()),
+                b.column(0).take(pa.array(part)), b.column(1).take(pa.array(part)),
                 pa.array([xxhash.xxh3_128_digest(h.tobytes()) if ok else None for h, ok in zip(hashes, some, strict=True)], pa.binary()),
                 pa.array([max(1, len(h) - SHINGLE + 1) if ok else 0 for h, ok in zip(hashes, some, strict=True)], pa.int64()),
                 pa.array([x if ok else [] for x, ok in zip(bands.view(np.int64).tolist(), some, strict=True)], pa.list_(pa.int64())),
             ], schema=_SIGNED)
 
 
-def bag(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted shingles, their occurrences, and how many in all."""
-    _, s, w = bags([word_hashes(text)])
-    order = np.argsort(s)
-    return s[order], w[order], int(w.sum())
+def element_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Of each text the sorted hashes of its (shingle, occurrence) pairs: a set in place of a multiset."""
+    text, s, w = bags([word_hashes(t) for t in texts])
+    before = np.cumsum(w) - w
+    nth = np.arange(int(w.sum())) - np.repeat(before, w)
+    element = _mix(np.repeat(s, w) + nth.astype(_U) * _STEP[2])
+    text = np.repeat(text, w)
+    order = np.lexsort((element, text))
+    return np.split(element[order], np.cumsum(np.bincount(text, minlength=len(texts)))[:-1])
 
 
-def similarity(a: tuple, b: tuple) -> float:
-    """Exact weighted Jaccard of two bags."""
-    (s, w, n), (t, v, m) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
-    if not n or not m:
-        return 0.0
-    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-    hit = t[at] == s
-    both = int(np.minimum(w[hit], v[at[hit]]).sum())
-    return both / (n + m - both)
+def _elements(batches):
+    for b in batches:
+        nodes, texts = b.column(0), b.column(1).cast(pa.binary()).to_pylist()
+        for part in _runs(texts):
+            sets = element_sets([texts[i] for i in part])
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(part)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "elements"])
+
 
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(a):
+        return 0.0
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
 
-class _Bags:
-    """Bags by id, the latest used, up to so many shingles: a centre meets many members."""
 
-    def __init__(self, room: int = 4_000_000):
-        self.held: OrderedDict[int, tuple] = OrderedDict()
-        self.room = room
+_LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
-    def get(self, key: int, text: bytes | None) -> tuple:
-        if key in self.held:
-            self.held.move_to_end(key)
-            return self.held[key]
-        new = self.held[key] = bag(text or b"")
-        self.room -= len(new[0])
-        while self.room < 0 and len(self.held) > 1:
-            self.room += len(self.held.popitem(last=False)[1][0])
-        return new
 
+def _meet(least: float):
+    """Rows (rep, salt, node, elements) sorted by (rep, salt), the representative first: links of its members with it."""
 
-def _check(least: float):
     def run(batches):
-        own = _Bags()
+        head, own = None, np.zeros(0, _U)
         for b in batches:
-            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(b.column(i).cast(pa.binary()) for i in (2, 3)), strict=True)
-            good = [(x, y) for x, y, s, t in rows if similarity(own.get(x, s.as_py() if x not in own.held else None), own.get(y, t.as_py() if y not in own.held else None)) >= least - 1e-12]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([y for _, y in good], pa.int64())], names=["a", "b"])
+            rep, salt, node = (b.column(i).to_pylist() for i in range(3))
+            out = []
+            for i, key in enumerate(zip(rep, salt, strict=True)):
+                elements = np.frombuffer(b.column(3)[i].as_buffer(), "<u8")
+                if node[i] == rep[i]:
+                    head, own = key, elements.copy()
+                elif key == head and similarity(own, elements) >= least - 1e-12:
+                    out.append((rep[i], node[i]))
+            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [x for _, x in out]}, schema=_LINK)
 
     return run
 
 
-def _occurrences(n_shards: int):
-    """Each batch's shingles to shards: (shingle, text, occurrences), or MANY where two texts of the batch hold it."""
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``a`` shares with each of ``b``.
+
+    Elements that many pairs share are counted by a matrix product, the others pair by pair.
+    """
+    shape = (len(a), len(b))
+    out = np.zeros(shape, np.int64)
+    x, y = np.concatenate(a), np.concatenate(b)
+    x_row, y_row = np.repeat(np.arange(len(a)), [len(s) for s in a]), np.repeat(np.arange(len(b)), [len(s) for s in b])
+    common, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = at[: len(x)], at[len(x) :]
+    in_x, in_y = np.bincount(x, minlength=len(common)), np.bincount(y, minlength=len(common))
+    pairs = in_x * in_y
+    dense = np.flatnonzero(pairs > max(16, len(a) * len(b) // 100))
+    for some in np.array_split(dense, -(-len(dense) // 1024)) if len(dense) else []:
+        column = np.full(len(common), -1)
+        column[some] = np.arange(len(some))
+        left, right = np.zeros((len(a), len(some)), np.float32), np.zeros((len(b), len(some)), np.float32)
+        for matrix, row, element in ((left, x_row, x), (right, y_row, y)):
+            here = np.flatnonzero(column[element] >= 0)
+            matrix[row[here], column[element[here]]] = 1
+        out += np.rint(left @ right.T).astype(np.int64)
+    pairs[dense] = 0
+    keep = np.flatnonzero(pairs[x] > 0)
+    x, x_row = x[keep], x_row[keep]
+    order = np.argsort(y, kind="stable")
+    y_row, first = y_row[order], np.cumsum(in_y) - in_y
+    for some in np.split(np.arange(len(x)), np.flatnonzero(np.diff(np.cumsum(in_y[x]) // 4_000_000)) + 1):
+        times = in_y[x[some]]
+        place = np.repeat(first[x[some]] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        out += np.bincount(np.repeat(x_row[some], times) * len(b) + y_row[place], minlength=out.size).reshape(shape)
+    return out
+
+
+def solve(nodes: list, labels: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple]:
+    """Links that join classes of one tile: pairs between its sides, or within it where there is one side."""
+    size = np.array([len(s) for s in sets])
+    every = np.concatenate(sets)
+    _, at, count = np.unique(every, return_inverse=True, return_counts=True)
+    shared = np.bincount(np.repeat(np.arange(len(sets)), size), weights=count[at] > 1, minlength=len(sets))
+    good = np.flatnonzero(shared >= least * size - 1e-9)  # the others share too little with all of the tile
+    if len(good) < 2 or len(np.unique(labels[good])) < 2:
+        return []
+    if len(two := np.unique(sides)) == 2:
+        rows, cols = good[sides[good] == two[0]], good[sides[good] == two[1]]
+    else:  # pairs within the largest class need no check
+        classes, n = np.unique(labels[good], return_counts=True)
+        rows, cols = good[labels[good] != classes[n.argmax()]], good
+    if not len(rows) or not len(cols):
+        return []
+    links, parent = [], {}
+
+    def root(k):
+        while parent.get(k, k) != k:
+            k = parent[k]
+        return k
+
+    for part in np.array_split(rows, -(-len(rows) // TILE)):
+        both = overlaps([sets[i] for i in part], [sets[i] for i in cols])
+        near = (both >= (least - 1e-12) * (size[part][:, None] + size[cols][None, :] - both)) & (labels[part][:, None] != labels[cols][None, :])
+        i, j = np.nonzero(near)
+        _, once = np.unique(labels[part[i]] * (labels.max() + 1) + labels[cols[j]], return_index=True)
+        for k in once.tolist():
+            x, y = root(int(labels[part[i[k]]])), root(int(labels[cols[j[k]]]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                links.append((nodes[part[i[k]]], nodes[cols[j[k]]]))
+    return links
+
+
+def _tiles(least: float):
+    """Rows (bucket, i, j, side, label, node, elements) sorted by (bucket, i, j): links, tile by tile."""
+
+    def solved(held):
+        sides, labels, nodes, sets = zip(*held, strict=True)
+        _, number = np.unique(np.array(labels, dtype=object), return_inverse=True)
+        return solve(list(nodes), number.astype(np.int64), np.array(sides), list(sets), least)
 
     def run(batches):
-        for b in batches:
-            nodes = np.array(b.column(0).to_pylist(), np.int64)
-            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            runs = np.cumsum([len(x) for x in texts]) // CHUNK_BYTES if texts else []
-            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(runs)) + 1):
-                text, s, w = bags([word_hashes(texts[i]) for i in part])
-                s = s & KEY_MASK
-                order = np.argsort(s)
-                text, s, w = text[order], s[order], w[order]
-                first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
-                alone = np.diff(np.append(first, len(s))) == 1
-                node = np.where(alone, nodes[part][text[first]] if len(s) else 0, MANY)
-                shard = (s[first] % _U(n_shards)).astype(np.int32)
-                rows = [(int(shard[i]), k, d, n) for k, d, n, i in pack(shard, short(s[first]), node, w[first].astype(np.uint32))]
-                cols = list(zip(*rows, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["shard", "key", "node", "n"])
+        key, held = None, []
 
-    return run
+        def out(links):
+            return pa.RecordBatch.from_pydict({"a": [x for x, _ in links], "b": [x for _, x in links]}, schema=_LINK)
 
+        for b in batches:
+            cols = [b.column(i).to_pylist() for i in range(6)]
+            for i, (bucket, p, q, side, label, node) in enumerate(zip(*cols, strict=True)):
+                if (bucket, p, q) != key:
+                    if len(held) > 1:
+                        yield out(solved(held))
+                    key, held = (bucket, p, q), []
+                held.append((side, label, node, np.frombuffer(b.column(6)[i].as_py(), "<u8")))
+        if len(held) > 1:
+            yield out(solved(held))
 
-def _private(t: pa.Table) -> pa.Table:
-    """One shard: by text, the occurrences of shingles that no other text holds."""
-    join = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-    key, node, n = whole(b"".join(t.column("key").to_pylist())), join("node", "<i8"), join("n", "<u4")
-    order = np.argsort(key)
-    key, node, n = key[order], node[order], n[order]
-    same = key[1:] == key[:-1]
-    own = ~(np.append(False, same) | np.append(same, False))[: len(key)] & (node != MANY)
-    ids, at = np.unique(node[own], return_inverse=True)
-    return pa.table([pa.array(ids, pa.int64()), pa.array(np.bincount(at, weights=n[own], minlength=len(ids)).astype(np.int64))], names=["node", "private"])
+    return run
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -239,92 +325,105 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     Labels flow over these and jump to their label's label until nothing changes; nodes follow their old label.
     """
     ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").where("x <> y").select("x", "y")
-    both = materialize(ends.unionByName(ends.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
+    both = materialize(ends.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")).select("e.x", "e.y").distinct(), "label-links")
     if both.isEmpty():
         return labels
-    touched = both.select(F.col("x").alias("node"), F.col("x").alias("label")).distinct()
+    # all labels but the smallest of their neighbourhood take it in the first round
+    now = materialize(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("near")).select("node", F.least("node", "near").alias("label")), "label-classes")
     while True:
-        near = both.join(touched.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("at")).agg(F.min("label").alias("near"))
-        new = touched.join(near, touched.node == near["at"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(now.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("at")).agg(F.min("label").alias("near"))
+        new = now.join(near, F.col("node") == F.col("at"), "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         # a label that found a smaller one takes its whole class along
         hooks = new.where("label < old").groupBy(F.col("old").alias("root")).agg(F.min("label").alias("to"))
-        moved = new.join(hooks, new.label == hooks.root, "left").select("node", "old", F.least("label", "to").alias("label"))
-        moved = materialize(moved, "labels")
-        touched = moved.select("node", "label")
+        moved = materialize(new.join(hooks, F.col("label") == F.col("root"), "left").select("node", "old", F.least("label", "to").alias("label")), "label-classes")
+        release(now)
+        now = moved.select("node", "label")
         if moved.where("label < old").isEmpty():
             break
-    to = touched.select(F.col("node").alias("was"), F.col("label").alias("to"))
-    return materialize(labels.join(to, F.col("label") == F.col("was"), "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-
+    to = now.select(F.col("node").alias("was"), F.col("label").alias("to"))
+    out = materialize(labels.join(to, F.col("label") == F.col("was"), "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    release(both, now)
+    return out
+
+
+def _representatives(buckets: DataFrame) -> DataFrame:
+    """(of, rep, rep_n): of each bucket the member whose buckets hold most, of equals the least."""
+    fullness = buckets.groupBy(F.col("node").alias("of_node")).agg(F.sum("size").alias("full"))
+    ranked = buckets.join(fullness, F.col("node") == F.col("of_node"))
+    first = F.min(F.struct((-F.col("full")).alias("o"), "node", "n")).alias("r")
+    return ranked.groupBy(F.col("bucket").alias("of")).agg(first).select("of", F.col("r.node").alias("rep"), F.col("r.n").alias("rep_n"))
+
+
+def _first_links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links of members with their buckets' representatives. A representative of many is copied for every SPAN of them."""
+    pairs = buckets.where("node <> rep").where(F.least("n", "rep_n") >= (least - 1e-9) * F.greatest("n", "rep_n")).select("rep", "node").distinct()
+    pairs = materialize(pairs, "pairs")
+    heads = pairs.groupBy(F.col("rep").alias("head")).agg(F.ceil(F.count("*") / SPAN).cast("int").alias("salts"))
+    dealt = pairs.join(heads, F.col("rep") == F.col("head")).select("rep", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), "node")
+    copies = heads.select(F.col("head").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("head").alias("node"))
+    rows = dealt.unionByName(copies).join(sets, "node").select("rep", "salt", "node", "elements")
+    dealt_out = rows.repartition("rep", "salt").sortWithinPartitions("rep", "salt", F.col("node") != F.col("rep"))
+    links = materialize(dealt_out.mapInArrow(_meet(least), "a binary, b binary"), "links")
+    release(pairs)
+    return links
+
+
+def _other_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links within buckets whose members, but for the representative, are of different classes."""
+    now = buckets.join(labels, "node").select("bucket", "node", "n", "rep", "label")
+    open_ = now.where("node <> rep").groupBy(F.col("bucket").alias("of")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("elements"))
+    parts = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("elements") / TILE_ELEMENTS)).cast("int")
+    open_ = open_.where("lo < hi").select("of", parts.alias("parts"))
+    part = F.pmod(F.xxhash64("node"), "parts").cast("int")
+    members = now.join(open_, F.col("bucket") == F.col("of")).select("bucket", "label", "node", part.alias("side"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    members = members.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "label", "node")
+    rows = members.join(sets, "node").select("bucket", "i", "j", "side", "label", "node", "elements")
+    return materialize(rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_tiles(least), "a binary, b binary"), "links")
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """(id, copy, class_id) for every row; ``copy`` is a hash of the text as it stands."""
+    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("copy"), F.col(text).alias("text"))
+    signed = materialize(base.mapInArrow(_sign, "id long, copy long, node binary, n long, bands array<long>"), "signed")
+    texts = signed.where("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "copy")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    texts = materialize(texts, "texts")
+    each = texts.select("node", "n", F.explode("bands").alias("bucket"))
+    shared = each.groupBy(F.col("bucket").alias("of")).agg(F.count("*").alias("size")).where("size > 1")
+    members = materialize(each.join(shared, F.col("bucket") == F.col("of")).select("bucket", "size", "node", "n"), "members")
+    buckets = materialize(members.join(_representatives(members), F.col("bucket") == F.col("of")).select("bucket", "node", "n", "rep", "rep_n"), "buckets")
+    release(members)
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id): the smallest id of the class, for every row."""
-    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = materialize(base.mapInArrow(_sign, "id long, words binary, n long, bands array<long>"), "signed")
-    groups = signed.where("words IS NOT NULL AND id IS NOT NULL").groupBy("words").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    groups = materialize(groups, "texts")
-    each = groups.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select(F.col("bucket").alias("of"))
-    buckets = materialize(each.join(shared, F.col("bucket") == F.col("of")).select("bucket", "node", "n"), "buckets")
     nodes = buckets.select("node").distinct()
+    heads = texts.join(nodes, "node", "left_semi").select("node", F.col("first.id").alias("of_id"), F.col("first.copy").alias("of_copy"))
+    whole = base.join(heads, (F.col("id") == F.col("of_id")) & (F.col("copy") == F.col("of_copy"))).select("node", "text")
+    sets = materialize(whole.mapInArrow(_elements, "node binary, elements binary").dropDuplicates(["node"]), "sets")
+
     labels = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
-    texts = materialize(base.join(nodes, base.id == nodes.node).select("node", "text").dropDuplicates(["node"]), "candidates")
+    for step in (lambda: _first_links(buckets, sets, least), lambda: _other_links(buckets, labels, sets, least)):
+        links = step()
+        before, labels = labels, components(labels, links)
+        release(links, *([before] if before is not labels else []))
+    release(buckets, sets)
+
+    ids = texts.select("node", F.col("first.id").alias("least_id"))
+    by_label = ids.join(labels, "node").groupBy(F.col("label").alias("of")).agg(F.min("least_id").alias("class"))
+    linked = labels.join(by_label, F.col("label") == F.col("of")).select("node", "class")
+    of_text = ids.join(linked, "node", "left").select(F.col("node").alias("of"), F.coalesce("class", "least_id").alias("class"))
+    out = signed.join(of_text, F.col("node") == F.col("of"), "left").select("id", "copy", F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class_id"))
+    out = materialize(out, "classes")
+    release(signed, texts, labels)
+    return out
 
-    # a text's private shingles are in no overlap: most pairs that can't be similar are known by this bound
-    n_shards = shards_for(texts, "text", BYTES_PER_SHARD)
-    private = texts.mapInArrow(_occurrences(n_shards), "shard int, key binary, node binary, n binary").groupBy("shard").applyInArrow(_private, "node long, private long").groupBy(F.col("node").alias("of")).agg(F.sum("private").alias("private"))
-    shared = buckets.join(private, F.col("node") == F.col("of"), "left").select("bucket", "node", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("m"))
-    buckets = materialize(shared.where(F.col("m") >= (least - 1e-9) * F.col("n")), "buckets")
 
-    done = None
-    centres = 1
-    while True:
-        now = buckets.join(labels, "node")
-        if done is not None:  # only buckets that hold different classes
-            mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("bucket").alias("of"))
-            now = now.join(mixed, F.col("bucket") == F.col("of")).drop("of")
-        # the members of smallest salted hash are the centres: a partial aggregate keeps few of each bucket
-        order = F.col("node") if done is None else F.xxhash64("node")  # buckets of one family agree on their centres
-        top = now.groupBy("bucket").agg(F.min_by("node", order).alias("c")) if centres == 1 else _smallest(now, order, centres)
-        top = top.join(now.select("node", F.col("n").alias("c_n"), F.col("m").alias("c_m"), F.col("label").alias("c_label")).distinct(), F.col("c") == F.col("node")).select(F.col("bucket").alias("of"), "c", "c_n", "c_m", "c_label")
-        most = F.least("m", "c_m")  # the overlap at most
-        pairs = now.join(top, F.col("bucket") == F.col("of")).where((F.col("label") != F.col("c_label")) & (most >= (least - 1e-9) * (F.col("n") + F.col("c_n") - most)))
-        pairs = pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        exhausted = False
-        if pairs.isEmpty():
-            if done is None:
-                break
-            exhausted = now.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > centres).isEmpty()
-            if exhausted:
-                break
-        else:
-            left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
-            full = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
-            links = materialize(full.mapInArrow(_check(least), "a long, b long"), "checked")
-            labels = components(labels, links)
-            done = pairs if done is None else done.unionByName(pairs)
-        centres = FEW if centres == 1 else centres * GROWTH
-
-    classes = groups.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.col("words").alias("w"), F.coalesce("label", "node").alias("class"))
-    return signed.select("id", "words").join(classes, F.col("words") == F.col("w"), "left").select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class_id"))
-
-
-def _smallest(now: DataFrame, order: F.Column, k: int) -> DataFrame:
-    """The k members of smallest order of each bucket: first of each of some salts, then of those."""
-    from pyspark.sql import Window
-
-    salted = now.select("bucket", "node", order.alias("o"), F.pmod(F.xxhash64("node"), F.lit(16)).alias("salt"))
-    first = salted.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("o", "node"))).where(F.col("r") <= k)
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("o", "node"))).where(F.col("r") <= k).select("bucket", F.col("node").alias("c"))
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class (all rows of its id), with the columns of ``docs``."""
-    lost = near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(materialize(lost, "lost"), F.col("doc_id").cast("long") == F.col("__lost"), "left_anti")
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id): the smallest id of the text's class, for every row."""
+    return classes(docs, doc_id, text, least).select(F.col("id").alias("doc_id"), "class_id")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each class (all rows with its id and text), with the columns of ``docs``."""
+    lost = classes(docs, doc_id, text).where("id <> class_id").select("id", "copy").distinct()
+    return anti_join(docs, materialize(lost, "lost"), {"id": F.col(doc_id).cast("long"), "copy": F.xxhash64(F.col(text))})
 
 
 def brute_force(rows: list[tuple[int, str | None]], least: float = SIMILARITY) -> dict[int, int]:

@@ -274,7 +274,6 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     candidates = base.join(anchors, base.id == anchors.doc_id).select("id", "text", "keys")
     found = candidates.mapInArrow(_entries(splitters), ENTRY).groupBy("bucket").applyInArrow(_bucket(len(splitters) + 1), SPAN)
     spans = materialize(found.groupBy("block").applyInArrow(_merged, "drop_id long, first binary, last binary"), "spans")
-    del candidates, found
     release(anchors)
     return spans
 

@@ -105,6 +105,62 @@ def test_minhash_links_join_whole_classes(spark):
     assert minhash.components(labels, links.where("a < 0")).count() == 9
 
 
+def family(n, seed, words=90):
+    """Texts that drift: each a copy of an earlier one with a few words changed, so chains matter and most pairs are far."""
+    r = random.Random(seed)
+    out = [prose(words, seed).split()]
+    while len(out) < n:
+        w = list(r.choice(out[-20:]))
+        for _ in range(r.randint(1, 2)):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+def test_minhash_family_of_a_template(docs, monkeypatch):
+    """Drifting copies and texts around a shared passage, with tiles so small that a bucket takes many."""
+    monkeypatch.setattr(minhash, "TILE", 8)
+    shared = prose(70, 300)
+    rows = list(enumerate(family(120, 301))) + [(500 + i, shared + " " + prose(20, 310 + i)) for i in range(40)] + [(600 + i, shared + " " + prose(45, 360 + i)) for i in range(40)]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(rows)).collect()}
+    want = minhash.brute_force(rows)
+    pairs = lambda c: {(a, b) for a in c for b in c if a < b and c[a] == c[b]}
+    assert pairs(got) <= pairs(want) and len(pairs(got)) >= 0.99 * len(pairs(want))
+    assert 5 < len(set(want.values())) < len(rows) - 40
+
+
+def test_minhash_solver_counts_overlaps():
+    import numpy as np
+
+    g = np.random.default_rng(7)
+    sets = [np.unique(g.integers(0, 400, g.integers(1, 200)).astype(np.uint64)) for _ in range(60)] + [np.arange(350, dtype=np.uint64)] * 9
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (minhash.overlaps(sets, sets) == want).all()
+    size = np.array([len(s) for s in sets])
+    links = minhash.solve(list(range(69)), np.arange(69), np.zeros(69), sets, 0.5)
+    near = want >= 0.5 * (size[:, None] + size[None, :] - want)
+    assert all(near[a, b] for a, b in links) and len(links) < 69
+
+    def parts(edges):
+        label = list(range(69))
+        for _ in range(69):
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert parts(links) == parts(np.argwhere(near).tolist())
+
+
+def test_minhash_ids_with_several_texts(docs):
+    p, q = prose(90, 401), prose(90, 402)
+    rows = [(1, p), (5, p), (5, q), (7, q), (7, q)]
+    got = sorted(tuple(r) for r in minhash.near_duplicates(docs(rows)).collect())
+    assert got == [(1, 1), (5, 1), (5, 5), (7, 5), (7, 5)]
+    kept = minhash.keep_first(docs(rows, lost_id="x", LOST_COPY="y", __lost="z", copy="c"))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, p), (5, q)])
+    assert "__lost" in kept.columns
+
+
 def test_minhash_estimates_similarity():
     import numpy as np
 
