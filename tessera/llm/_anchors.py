@@ -153,6 +153,19 @@ def by_document(doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(doc[part[0]]), part
 
 
+def short_hash(text: F.Column) -> F.Column:
+    """32 bits that tell the texts of one id apart."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def by_text(doc: np.ndarray, copy: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Each document's text and the places of its entries."""
+    order = np.lexsort((copy, doc))
+    new = np.flatnonzero((np.diff(doc[order]) != 0) | (np.diff(copy[order]) != 0)) + 1
+    for part in np.split(order, new) if len(doc) else []:
+        yield int(doc[part[0]]), int(copy[part[0]]), part
+
+
 _FOUND = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("key", pa.binary()), ("doc", pa.binary())])
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,19 +38,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as a table in the shared folder and read it back: cuts the lineage durably.
-
-    The shuffle files of the write go with it, by Spark's own setting, which is put back after it.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
+@contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries within go as each ends, by Spark's own setting, which is put back after it."""
     before = spark.conf.get(CLEANUP_KEY, None)
     spark.conf.set(CLEANUP_KEY, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.unset(CLEANUP_KEY) if before is None else spark.conf.set(CLEANUP_KEY, before)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame as a table in the shared folder and read it back: cuts the lineage durably."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    with own_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -96,6 +102,18 @@ def shards_for(docs: DataFrame, text: str, per_shard: int) -> int:
     return max(least, -(-int(total) // per_shard))
 
 
+def hash_under(share: float, *of: F.Column) -> F.Column:
+    """Whether a row's hash is in this share of all hashes."""
+    return F.xxhash64(*of) <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
+
+
+def hash_sample(df: DataFrame, key: F.Column, value: F.Column, rows: int, total: int) -> list:
+    """``value`` of about the ``rows`` rows of least hash, out of ``total``; only a few times as many leave their tasks."""
+    share = min(1.0, 4 * rows / max(1, total))
+    few = df.where(hash_under(share, key, value)).select(F.xxhash64(key, value).alias("h"), value.alias("v"))
+    return [r["v"] for r in few.orderBy("h").limit(rows).collect()]
+
+
 def reach_workers(spark: SparkSession) -> None:
     """Python workers find this package where the driver does, if it isn't installed for them."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

@@ -10,14 +10,15 @@ that starts j bytes before its anchor equals another if the suffixes share 50 -
 contexts before share j: both are intervals of the sorted orders, numbered without any hash. The
 smallest document of each such class keeps its copy.
 
-Boundaries: splitters cut at the first eight bytes of a suffix. Equal windows have equal anchors
+Boundaries: splitters cut at the first sixteen bytes of a suffix. Equal windows have equal anchors
 and so equal leading bytes; they never straddle a boundary, and comparing the last suffix of a
 bucket with the first of the next would find no common anchor. Equal contexts within a batch of
 documents are sent once, for the smallest document; all others are known to repeat. So a passage
 of a third of all documents is sent once a batch.
 
 Defined results: a null or empty text has no bytes; a row with a null id keeps all its bytes
-and is no holder; rows that share an id are one document; a string repeated within one document
+and is no holder; rows that share an id are one document, whose texts lose each what a smaller
+document holds; a string repeated within one document
 alone stays; texts under 50 bytes stay; what is left of a text may cut a character, so it comes
 as bytes; an empty table gives an empty result; other columns pass through, whatever their names.
 """
@@ -32,14 +33,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._anchors import Scheme, U, block_of, by_document, keys_of, mix, pack, shared_anchors, sliding_argmin
-from tessera.llm._common import materialize, release, shards_for
+from tessera.llm._anchors import Scheme, U, block_of, by_text, keys_of, mix, pack, shared_anchors, short_hash, sliding_argmin
+from tessera.llm._common import hash_under, materialize, release, shards_for
 
 WINDOW, ANCHOR = 50, 20
 BEFORE = WINDOW - ANCHOR
 BYTES_PER_SHARD = 10 << 20
-#: Documents whose anchors place the splitters, and characters of each; they decide balance, not results.
-SAMPLE_DOCS, SAMPLE_CHARS = 600, 8000
+#: Leading bytes that splitters look at; fewer than an anchor's.
+LEADING = 16
+#: Suffixes of a sample that place each splitter, and in all at most; they decide balance, not results.
+PER_SPLITTER, MOST_SAMPLED = 64, 2_000_000
+#: One suffix in so many of a sampled document is taken, so that many documents take part.
+THIN = 8
 
 _TABLE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
@@ -50,13 +55,13 @@ def _symbols(text: bytes) -> np.ndarray:
 
 SCHEME = Scheme(WINDOW, ANCHOR, _symbols, 1_000_000)
 
-_ENTRY = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("context", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
-ENTRY = "bucket int, block int, context binary, doc binary, at binary, first binary, last binary"
+_ENTRY = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("context", pa.binary()), ("doc", pa.binary()), ("copy", pa.binary()), ("at", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
+ENTRY = "bucket int, block int, context binary, doc binary, copy binary, at binary, first binary, last binary"
 
 
 def _leading(context: np.ndarray) -> np.ndarray:
-    """The suffix's first eight bytes as a number, in the order of bytes."""
-    return np.ascontiguousarray(context[:, BEFORE : BEFORE + 8]).view(">u8").ravel().astype(U)
+    """The suffix's first bytes, all of which its anchor covers; they compare in the order of bytes."""
+    return np.ascontiguousarray(context[:, BEFORE : BEFORE + LEADING]).view(f"S{LEADING}").ravel()
 
 
 def _contexts(text: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -82,17 +87,17 @@ def _anchored(text: bytes, keys: np.ndarray):
 def _entries(splitters: np.ndarray):
     def run(batches):
         for b in batches:
-            docs, keys = b.column("id").to_pylist(), b.column("keys").to_pylist()
+            docs, copies, keys = b.column("id").to_pylist(), b.column("copy").to_pylist(), b.column("keys").to_pylist()
             texts = b.column("text").cast(pa.binary()).to_pylist()
             held: list[tuple] = []
             size = 0
-            for i, (doc, packed, text) in enumerate(zip(docs, keys, texts, strict=True)):
+            for i, (doc, copy, packed, text) in enumerate(zip(docs, copies, keys, texts, strict=True)):
                 known = keys_of(packed)
                 for s in range(0, max(1, len(text) - WINDOW + 1), SCHEME.chunk):
                     piece = text[s : s + SCHEME.chunk + WINDOW - 1]
                     at, lo, hi = _anchored(piece, known)
                     if len(at):
-                        held.append((_contexts(np.frombuffer(piece, np.uint8), at, lo, hi), np.full(len(at), doc), at + s, at - lo, at - hi))
+                        held.append((_contexts(np.frombuffer(piece, np.uint8), at, lo, hi), np.full(len(at), doc), np.full(len(at), copy, np.uint32), at + s, at - lo, at - hi))
                         size += len(at)
                 if held and (size > 150_000 or i == len(docs) - 1):
                     yield _batch(splitters, *(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -103,14 +108,14 @@ def _entries(splitters: np.ndarray):
     return run
 
 
-def _batch(splitters, context, doc, at, first, last) -> pa.RecordBatch:
+def _batch(splitters, context, doc, copy, at, first, last) -> pa.RecordBatch:
     """``first``, ``last``: how many bytes before the anchor the first and the last window start."""
     words = context.view(U).reshape(len(context), -1)
     h = mix(first.astype(U) * U(64) + last.astype(U))
     for i in range(words.shape[1]):
         h = mix(h + words[:, i] * U(2 * i + 0x9E3779B97F4A7C15))
     order = np.lexsort((at, doc, h))
-    context, words, doc, at, first, last, h = (x[order] for x in (context, words, doc, at, first, last, h))
+    context, words, doc, copy, at, first, last, h = (x[order] for x in (context, words, doc, copy, at, first, last, h))
     head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))[np.cumsum(np.append(True, h[1:] != h[:-1])) - 1]
     same = (words == words[head]).all(axis=1) & (first == first[head]) & (last == last[head])
     late = same & (doc != doc[head])
@@ -122,12 +127,12 @@ def _batch(splitters, context, doc, at, first, last) -> pa.RecordBatch:
             out[n].append(v)
 
     bucket = np.searchsorted(splitters, _leading(context[sent]), side="right").astype(np.int32)
-    for c, d, a, f, z, i in pack(bucket, context[sent], doc[sent], at[sent].astype(np.uint32), first[sent].astype(np.uint8), last[sent].astype(np.uint8)):
-        put(int(bucket[i]), None, c, d, a, f, z)
+    for c, d, v, a, f, z, i in pack(bucket, context[sent], doc[sent], copy[sent], at[sent].astype(np.uint32), first[sent].astype(np.uint8), last[sent].astype(np.uint8)):
+        put(int(bucket[i]), None, c, d, v, a, f, z)
     n = len(splitters) + 1
     block = block_of(doc[late], n)
-    for d, a, z, i in pack(block, doc[late], (at - first)[late].astype(np.uint32), (at - last + WINDOW)[late].astype(np.uint32)):
-        put(int(block[i]), int(block[i]), None, d, None, a, z)
+    for d, v, a, z, i in pack(block, doc[late], copy[late], (at - first)[late].astype(np.uint32), (at - last + WINDOW)[late].astype(np.uint32)):
+        put(int(block[i]), int(block[i]), None, d, v, None, a, z)
     return pa.RecordBatch.from_pydict(out, schema=_ENTRY)
 
 
@@ -157,8 +162,8 @@ def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-_SPAN = pa.schema([("block", pa.int32()), ("doc", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
-SPAN = "block int, doc binary, first binary, last binary"
+_SPAN = pa.schema([("block", pa.int32()), ("doc", pa.binary()), ("copy", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
+SPAN = "block int, doc binary, copy binary, first binary, last binary"
 
 
 def _bucket(n_blocks: int):
@@ -173,11 +178,11 @@ def _sorted_bucket(t: pa.Table, n_blocks: int) -> pa.Table:
         return known
     join = lambda n, kind: np.frombuffer(b"".join(t.column(n).to_pylist()), kind)
     context = join("context", np.uint8).reshape(-1, BEFORE + WINDOW)
-    doc, at, first, last = join("doc", "<i8"), join("at", "<u4").astype(np.int64), join("first", np.uint8).astype(np.int64), join("last", np.uint8).astype(np.int64)
+    doc, copy, at, first, last = join("doc", "<i8"), join("copy", "<u4"), join("at", "<u4").astype(np.int64), join("first", np.uint8).astype(np.int64), join("last", np.uint8).astype(np.int64)
     n = len(doc)
     right, r_lcp = multikey_sort(context[:, BEFORE:])
     left, l_lcp = multikey_sort(np.ascontiguousarray(context[:, BEFORE - 1 :: -1]))
-    starts, ends, owner = [], [], []
+    starts, rows = [], []
     for j in range(BEFORE + 1):
         mine = np.flatnonzero((last <= j) & (j <= first))
         if not len(mine):
@@ -192,33 +197,31 @@ def _sorted_bucket(t: pa.Table, n_blocks: int) -> pa.Table:
         least = np.minimum.reduceat(doc[mine][order], np.flatnonzero(new))[np.cumsum(new) - 1]
         hit = mine[order][doc[mine][order] > least]
         starts.append(at[hit] - j)
-        owner.append(doc[hit])
+        rows.append(hit)
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-    order = np.lexsort((start, owner))
-    start, owner = start[order], owner[order]
-    if len(start):
-        new = np.append(True, (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + 1))
-        begin = np.flatnonzero(new)
-        ends = start[np.append(begin[1:], len(start)) - 1] + WINDOW
-        start, owner = start[begin], owner[begin]
-    else:
-        ends = start
+    row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    owner, of = doc[row], copy[row]
+    order = np.lexsort((start, of, owner))
+    start, owner, of = start[order], owner[order], of[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (of[1:] != of[:-1]) | (start[1:] > start[:-1] + 1))[: len(start)]
+    begin = np.flatnonzero(new)
+    ends = start[np.append(begin[1:], len(start)) - 1] + WINDOW if len(start) else start
+    start, owner, of = start[begin], owner[begin], of[begin]
     block = block_of(owner, n_blocks)
-    rows = [(int(block[i]), d, a, z) for d, a, z, i in pack(block, owner.astype(np.int64), start.astype(np.uint32), ends.astype(np.uint32))]
-    cols = list(zip(*rows, strict=True)) or [()] * 4
+    rows = [(int(block[i]), d, v, a, z) for d, v, a, z, i in pack(block, owner.astype(np.int64), of, start.astype(np.uint32), ends.astype(np.uint32))]
+    cols = list(zip(*rows, strict=True)) or [()] * 5
     return pa.concat_tables([known, pa.table([pa.array(c, f.type) for c, f in zip(cols, _SPAN, strict=True)], schema=_SPAN)])
 
 
 def _merged(t: pa.Table) -> pa.Table:
-    """One block: the merged spans of each document."""
-    doc, first, last = (np.frombuffer(b"".join(t.column(n).to_pylist()), kind) for n, kind in (("doc", "<i8"), ("first", "<u4"), ("last", "<u4")))
+    """One block: the merged spans of each document's text."""
+    doc, copy, first, last = (np.frombuffer(b"".join(t.column(n).to_pylist()), kind) for n, kind in (("doc", "<i8"), ("copy", "<u4"), ("first", "<u4"), ("last", "<u4")))
     rows = []
-    for d, at in by_document(doc):
+    for d, c, at in by_text(doc, copy):
         a, z = merge_spans(first[at].astype(np.int64), last[at].astype(np.int64))
-        rows.append((d, a.astype(np.uint32).tobytes(), z.astype(np.uint32).tobytes()))
-    cols = list(zip(*rows, strict=True)) or [()] * 3
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["drop_id", "first", "last"])
+        rows.append((d, c, a.astype(np.uint32).tobytes(), z.astype(np.uint32).tobytes()))
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["drop_id", "drop_copy", "first", "last"])
 
 
 def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,29 +254,38 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([*(b.column(names.index(n)) for n in rest), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans))], names=[*rest, "kept", "n_bytes", "n_removed", "n_spans"])
 
 
-def _splitters(base: DataFrame, n: int) -> np.ndarray:
-    """Leading bytes that cut a bounded sample's suffixes into n equal parts."""
-    sample = base.orderBy(F.xxhash64("id")).limit(SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_CHARS).alias("t")).collect()
-    lead = [np.zeros(0, U)]
-    for r in sample:
-        text = (r["t"] or "").encode()
-        a = sliding_argmin(SCHEME.hashes(_symbols(text)), WINDOW - ANCHOR + 1)
-        a = np.unique(a[: max(0, len(text) - WINDOW + 1)]).astype(np.int64)
-        if len(a):
-            lead.append(_leading(_contexts(np.frombuffer(text, np.uint8), a, a - BEFORE, a)))
-    lead = np.sort(np.concatenate(lead))
+def _sampled(batches):
+    """Leading bytes of one in THIN suffixes of each text."""
+    for b in batches:
+        lead = [np.zeros(0, f"S{LEADING}")]
+        for text in b.column(0).cast(pa.binary()).to_pylist():
+            h = SCHEME.hashes(_symbols(text or b""))
+            a = np.unique(sliding_argmin(h, WINDOW - ANCHOR + 1)[: max(0, len(text or b"") - WINDOW + 1)]).astype(np.int64)
+            a = a[mix(h[a] + U(1)) % U(THIN) == 0]
+            if len(a):
+                lead.append(_leading(_contexts(np.frombuffer(text, np.uint8), a, a - BEFORE, a)))
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(lead).astype(f"S{LEADING}").tobytes()], pa.binary())], names=["lead"])
+
+
+def _splitters(base: DataFrame, n: int, n_bytes: int) -> np.ndarray:
+    """Leading bytes that cut the suffixes of sampled documents into n equal parts."""
+    want = min(PER_SPLITTER * n, MOST_SAMPLED)
+    share = min(1.0, want * THIN * (BEFORE + 2) / 2 / max(1, n_bytes))
+    few = base.where(hash_under(share, F.col("id"), F.lit("sample"))).select("text")
+    rows = few.mapInArrow(_sampled, "lead binary").collect()  # about MOST_SAMPLED x LEADING bytes at most
+    lead = np.sort(np.frombuffer(b"".join(bytes(r["lead"]) for r in rows), f"S{LEADING}"))
     return np.unique(lead[[len(lead) * i // n for i in range(1, n)]]) if len(lead) else lead
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """drop_id with its repeated byte spans, packed: first, last (exclusive)."""
-    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
+    """drop_id and drop_copy (which of the id's texts) with the repeated byte spans, packed: first, last (exclusive)."""
+    base = docs.select(F.col(doc_id).cast("long").alias("id"), short_hash(F.col(text)).alias("copy"), F.col(text).alias("text")).where(F.col("id").isNotNull())
     n = shards_for(base, "text", BYTES_PER_SHARD)
-    splitters = _splitters(base, n)
-    anchors = shared_anchors(base, SCHEME, BYTES_PER_SHARD)
-    candidates = base.join(anchors, base.id == anchors.doc_id).select("id", "text", "keys")
+    splitters = _splitters(base, n, n * BYTES_PER_SHARD)
+    anchors = shared_anchors(base.select("id", "text"), SCHEME, BYTES_PER_SHARD)
+    candidates = base.join(anchors, base.id == anchors.doc_id).select("id", "copy", "text", "keys")
     found = candidates.mapInArrow(_entries(splitters), ENTRY).groupBy("bucket").applyInArrow(_bucket(len(splitters) + 1), SPAN)
-    spans = materialize(found.groupBy("block").applyInArrow(_merged, "drop_id long, first binary, last binary"), "spans")
+    spans = materialize(found.groupBy("block").applyInArrow(_merged, "drop_id long, drop_copy long, first binary, last binary"), "spans")
     release(anchors)
     return spans
 
@@ -283,7 +295,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spans = repeated_spans(docs, doc_id, text)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
     whole = docs.select(F.struct(*others).alias("doc"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    joined = whole.join(spans, F.col("id") == F.col("drop_id"), "left").select("doc", "text", "first", "last")
+    joined = whole.join(spans, (F.col("id") == F.col("drop_id")) & (short_hash(F.col("text")) == F.col("drop_copy")), "left").select("doc", "text", "first", "last")
     return joined.mapInArrow(_remove, f"doc {joined.schema['doc'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 

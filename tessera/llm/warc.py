@@ -4,8 +4,9 @@ Writing: a dictionary is trained on a bounded sample of payloads; every archive
 skippable frame that holds it, then has one Zstandard frame per record. Archives are written by
 Spark's own text writer, so they go to any store under Spark's commit protocol: a row is a
 frame, and the line separator is an empty skippable frame, which decoders pass over. Equal
-payloads: the digests' largest pages are found by an aggregate, and only digests that occur
-twice are joined back; all but that page become revisit records, which hold no payload.
+payloads: the digests' largest pages are found by an aggregate over ids and digests alone; of the
+pages that become revisits a small row says so, and travels with the payloads to the archives, so
+payloads are dealt out once. Revisit records hold no payload.
 
 Reading: archives are read whole as binary files of a bounded size; the dictionary is loaded
 from the leading frame, each record's frame decoded on its own, and headers and lengths
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import scratch
+from tessera.llm._common import hash_sample, materialize, own_shuffles, remove, scratch
 
 # Fixed values of the formats.
 SKIPPABLE_DICTIONARY = 0x184D2A5D
@@ -153,18 +154,24 @@ def read_archive(data: bytes):
 
 
 def _frames(dictionary: bytes):
+    """Rows (digest, rid, none, page, first, id, uri, payload), a page's row after the one that makes it a revisit."""
+
     def run(batches):
         import zstandard
 
         encoder = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        lead = [dictionary_frame(dictionary)]
+        out, revisit, first = [dictionary_frame(dictionary)], None, None
         for b in batches:
-            rows = zip(*[b.column(i).to_pylist() for i in range(b.num_columns)], strict=True)
-            out = [encoder.compress(record_bytes(i, u, p, base64.b32encode(d).decode(), len(p), r)) for i, u, p, d, r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(lead + out, pa.binary())], names=["frame"])
-            lead = []
-        if lead:
-            yield pa.RecordBatch.from_arrays([pa.array(lead, pa.binary())], names=["frame"])
+            for digest, rid, none, page, to, i, uri, payload in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                key = (digest, rid, none)
+                if not page:
+                    revisit, first = key, to
+                else:
+                    out.append(encoder.compress(record_bytes(i, uri, payload, base64.b32encode(digest).decode(), len(payload), first if key == revisit else None)))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+            out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     return run
 
@@ -172,17 +179,22 @@ def _frames(dictionary: bytes):
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", uri: str = "url", payload: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Archives of about ``archive_bytes`` of payload each, in a folder."""
     src = pages.select(F.col(page_id).cast("long").alias("id"), F.col(uri).cast("string").alias("uri"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
-    src = src.withColumn("digest", F.unhex(F.sha1("payload")))
-    sample = src.orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).select(F.substring("payload", 1, SAMPLE_BYTES).alias("p")).collect()
-    dictionary = train_dictionary([bytes(r["p"]) for r in sample])
-    size = src.agg(F.sum(F.length("payload") + 512).alias("b")).first()["b"] or 0
+    total = src.agg(F.sum(F.length("payload") + 512).alias("b"), F.count("*").alias("n")).first()
+    size = total["b"] or 0
+    dictionary = train_dictionary([bytes(v) for v in hash_sample(src, F.col("id"), F.substring("payload", 1, SAMPLE_BYTES), SAMPLE_ROWS, total["n"])])
     n = max(1, -(-int(size) // archive_bytes), min(64, int(size) // (1 << 20)))
-    # the responses of payloads that occur twice or more
-    first = src.groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n"), F.max(F.length("payload")).alias("size")).where(f"n > 1 AND size >= {int(min_revisit_bytes)}").select(F.col("digest").alias("d"), "first")
-    role = src.select("id", "digest").join(first, F.col("digest") == F.col("d")).where("id < first OR id IS NULL").select(F.col("id").alias("rid"), F.col("digest").alias("d"), "first").distinct()
-    rows = src.join(role, F.col("id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("d")), "left").select("id", "uri", "payload", "digest", F.col("first").alias("refers_to"))
-    frames = rows.repartition(n, F.xxhash64("id", "uri")).mapInArrow(_frames(dictionary), "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    keyed = src.select(F.unhex(F.sha1("payload")).alias("digest"), F.coalesce("id", F.lit(0)).alias("rid"), F.col("id").isNull().alias("none"), "id", "uri", "payload")
+    slim = keyed.select("digest", "rid", "none", "id", F.length("payload").alias("size"))
+    # the responses of payloads that occur twice or more, and who refers to them
+    first = slim.groupBy(F.col("digest").alias("d")).agg(F.max("id").alias("first"), F.count("*").alias("n"), F.max("size").alias("size")).where(f"n > 1 AND size >= {int(min_revisit_bytes)}").select("d", "first")
+    revisits = slim.join(first, F.col("digest") == F.col("d")).where("id < first OR (id IS NULL AND first IS NOT NULL)").select("digest", "rid", "none", "first").distinct()
+    key = [F.col("digest"), F.col("rid"), F.col("none")]
+    rows = keyed.select(*key, F.lit(True).alias("page"), F.lit(None).cast("long").alias("first"), "id", "uri", "payload").unionByName(
+        revisits.select(*key, F.lit(False).alias("page"), "first", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("binary").alias("payload"))
+    )
+    frames = rows.repartition(n, *key).sortWithinPartitions(*key, "page").mapInArrow(_frames(dictionary), "frame binary")
+    with own_shuffles(pages.sparkSession):
+        frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
 
 
 def _decode(batches):
@@ -209,4 +221,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages, read them back: what was archived of each page."""
     path = scratch(pages.sparkSession, "warc")
     write_archives(pages, path)
-    return read_archives(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = materialize(read_archives(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "pages")
+    remove(pages.sparkSession, path)
+    return out

@@ -343,6 +343,16 @@ def test_null_and_repeated_ids(docs, spark):
     assert decontaminate.find_leaks(d, spark.createDataFrame([(None, "x"), (1, None)], "item_id long, text string")).count() == 0
 
 
+def test_ids_with_several_texts(docs):
+    """Rows that share an id but not the text: each is judged by its own text."""
+    a, b = prose(40, 11), prose(45, 12)
+    rows = [(1, a), (2, a), (2, b), (2, b[40:]), (3, b + "\n" + a), (3, prose(30, 13)), (3, None)]
+    for module, cols in ((suffixes, ("n_bytes", "n_removed", "n_spans", "kept_sha256")), (line_dedup, ("n_lines", "n_dropped", "kept_sha256"))):
+        call = module.dedup_lines if module is line_dedup else module.remove_repeats
+        got = results(module.kept_digest(call(docs(rows))), "doc_id", *cols)
+        assert got == sorted(module.brute_force(rows), key=str), module.__name__
+
+
 def test_empty_tables(docs, spark):
     d = docs(ROWS).where("doc_id < 0")
     bench = spark.createDataFrame([], "item_id long, text string")
