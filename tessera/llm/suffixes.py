@@ -91,15 +91,15 @@ def _entries(splitters: np.ndarray):
             texts = b.column("text").cast(pa.binary()).to_pylist()
             held: list[tuple] = []
             size = 0
-            for i, (doc, copy, packed, text) in enumerate(zip(docs, copies, keys, texts, strict=True)):
-                known = keys_of(packed)
-                for s in range(0, max(1, len(text) - WINDOW + 1), SCHEME.chunk):
+            for doc, copy, packed, text in zip(docs, copies, keys, texts, strict=True):
+                known, text = keys_of(packed), text or b""
+                for s in range(0, max(0, len(text) - WINDOW + 1), SCHEME.chunk):
                     piece = text[s : s + SCHEME.chunk + WINDOW - 1]
                     at, lo, hi = _anchored(piece, known)
                     if len(at):
                         held.append((_contexts(np.frombuffer(piece, np.uint8), at, lo, hi), np.full(len(at), doc), np.full(len(at), copy, np.uint32), at + s, at - lo, at - hi))
                         size += len(at)
-                if held and (size > 150_000 or i == len(docs) - 1):
+                if held and size > 150_000:
                     yield _batch(splitters, *(np.concatenate(x) for x in zip(*held, strict=True)))
                     held, size = [], 0
             if held:
