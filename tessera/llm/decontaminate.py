@@ -1,26 +1,31 @@
 """Benchmark decontamination (operator 9). DataFrame functions only.
 
 Texts are lower-cased and split at everything but letters and digits (of ASCII, and all other
-characters count as letters); a shingle is five words, hashed. A document can hold a window
-similar to an item only if it holds enough of the item's shingles, so documents' shingles meet
-the items' in one equi-join, and counts per (document, item) prune exactly. For the pairs that are
-left, a running sum over the places of the hits tells which windows of the item's size hold enough of
-the item's weight; every one of them is cut, whatever the order of the item's parts. Windows and items get 64-bit SimHash fingerprints over
-weighted shingles; fingerprints are cut into ``RADIUS + 1`` blocks, and two within the radius
-agree in one block at least, so the block join finds all of them. Those are verified by the
-exact weighted Jaccard similarity of the shingle multisets. A shingle weighs
-1 + ln(items / items that have it), so that what many items share counts less.
+characters count as letters); a shingle is five words, hashed, and weighs 1 + ln(items / items
+that have it), so that what many items share counts less.
+
+Windows: a document is compared with items in windows of the items' sizes, at every start. A
+window of a size can only be similar to an item of that size if its shingles that any such item
+holds weigh enough for the lightest of them; a running sum over the places of those shingles
+tells all starts where they do, whatever the order of the parts, and the others are pruned
+exactly. Every window left gets a 64-bit SimHash over its weighted shingles, and so does every item.
+
+Index: fingerprints are cut into ``RADIUS + 1`` blocks, and two within the radius agree in one
+block at least, so a join on (size, block, value) finds for each window all items of its size
+within the radius; which items the window's shingles came from plays no part in it. Candidates
+are verified by the exact weighted Jaccard similarity of the shingle multisets.
 
 The radius covers the threshold: at a similarity of 0.8 about 10 of 64 bits differ, 3 standard
 deviations are 9 bits more, and 23 leaves one such pair in 100,000 out.
 
-Sizes: the items' shingle tables are written, and Catalyst broadcasts them only if the files are
-under the session's limit; else the same joins shuffle. Nothing is collected.
+Sizes: the items' tables are written, and Catalyst broadcasts them only if the files are under
+the session's limit; else the same joins shuffle. Nothing is collected but the number of items.
 
 Defined results: null texts are empty; rows with a null id are not examined (and are kept by
-``drop_contaminated``); an item of fewer than five words has no shingle and can't be found;
-rows that share an id are examined each and the best window is reported; empty tables give
-an empty result; other columns pass through, whatever their names.
+``drop_contaminated``); an item of fewer than five words has no shingle and can't be found; a
+document shorter than an item is one window; rows that share an id are examined each and the best
+window is reported; items that share an id are one item per text; empty tables give an empty
+result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialize
+from tessera.llm._common import anti_join, materialize, release
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -39,14 +44,14 @@ BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _hashed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_words, g): g has the hash of the shingle that starts at each word."""
+    """(key, copy, n_words, g): copy is a hash of the text, and g has the hash of the shingle that starts at each word."""
     words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), BETWEEN_WORDS), "")
     # exploding a one-element array holds the optimizer back from computing the array anew for each of its elements
-    one = df.select(F.col(key).cast("long").alias("key"), F.explode(F.array(F.transform(words, lambda x: F.xxhash64(x)))).alias("w"))
+    one = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("copy"), F.explode(F.array(F.transform(words, lambda x: F.xxhash64(x)))).alias("w"))
     at = lambda i, k: F.get("w", i + F.lit(k))
     every = F.transform("w", lambda x, i: F.xxhash64(x, *[at(i, k) for k in range(1, SHINGLE)]))
     cut = F.slice(every, 1, F.greatest(F.size("w") - (SHINGLE - 1), F.lit(0)))
-    return one.select("key", F.size("w").alias("n_words"), F.explode(F.array(cut)).alias("g"))
+    return one.select("key", "copy", F.size("w").alias("n_words"), F.explode(F.array(cut)).alias("g"))
 
 
 def _fingerprint(shingles: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,52 +75,60 @@ def _blocks(simhash: str) -> F.Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, window_start, window_words, hamming, similarity: the best window of each pair."""
     items = _hashed(benchmark.where(F.col(item_id).isNotNull()), item_id, item_text).where(F.size("g") > 0)
-    each = items.select(F.col("key").alias("item"), F.col("n_words").alias("item_words"), F.posexplode("g").alias("q", "h"))
-    each = materialize(each.dropDuplicates(["item", "q", "h"]), "item-shingles")
+    each = materialize(items.dropDuplicates(["key", "copy"]).select(F.struct("key", "copy").alias("item"), F.col("n_words").alias("item_words"), F.explode("g").alias("h")), "item-shingles")
     n_items = max(1, each.agg(F.countDistinct("item").alias("n")).first()["n"])
     weigh = lambda of: F.round(1000 * (1 + F.log(F.lit(float(n_items)) / of))).cast("long")
-    weights = each.groupBy("h").agg(F.countDistinct("item").alias("of")).select("h", weigh(F.col("of")).alias("w"))
-    weights = materialize(weights.coalesce(1), "weights")
-    bags = each.groupBy("item", "item_words", "h").agg(F.count("*").alias("n")).join(weights, "h").withColumnRenamed("w", "weight")
-    bags = materialize(bags.coalesce(1), "bags")
-    sums = bags.groupBy("item").agg(F.sum(F.col("weight") * F.col("n")).alias("item_weight"), F.sum("n").alias("m"))
+    weights = materialize(each.groupBy("h").agg(F.countDistinct("item").alias("of")).select("h", weigh(F.col("of")).alias("weight")), "weights")
+    bags = materialize(each.groupBy("item", "item_words", "h").agg(F.count("*").alias("n")).join(weights, "h"), "bags")
+    sums = bags.groupBy("item", "item_words").agg(F.sum(F.col("weight") * F.col("n")).alias("item_weight"))
+    enough = sums.groupBy("item_words").agg((similarity * F.min("item_weight")).alias("enough"))
+    of_size = materialize(bags.select("item_words", "h", "weight").distinct().join(enough, "item_words"), "sizes")
 
     known = docs.where(F.col(doc_id).isNotNull())
-    hashed = _hashed(known, doc_id, text)
-    hits = materialize(hashed.select("key", "n_words", F.posexplode("g").alias("p", "h")).join(weights.select("h"), "h", "left_semi"), "hits")
-    # weighted Jaccard of s needs shared weight of at least s of the item's: an exact prune
-    held = hits.select("key", "h").distinct().join(bags, "h").groupBy("key", "item").agg(F.sum(F.col("weight") * F.col("n")).alias("shared"))
-    pairs = held.join(sums, "item").where(F.col("shared") >= similarity * F.col("item_weight")).select("key", "item", "item_weight")
+    hits = _hashed(known, doc_id, text).select("key", "copy", "n_words", F.posexplode("g").alias("p", "h"))
+    hits = materialize(hits.join(weights.select("h"), "h", "left_semi"), "hits")
+    # a window's similarity to any item of its size is at most what its hits weigh: an exact prune, of documents first
+    of_text = ["key", "copy", "n_words", "item_words", "enough"]
+    held = hits.groupBy("key", "copy", "n_words", "h").agg(F.countDistinct("p").alias("n")).join(of_size, "h").groupBy(*of_text).agg(F.sum(F.col("weight") * F.col("n")).alias("held"))
+    texts = materialize(held.where(F.col("held") >= F.col("enough")).select("key", "copy", "item_words"), "texts")
     # each hit weighs from the first start whose window holds it to the last; starts between two changes hold the same
     wide = F.least("item_words", "n_words")
     at = F.explode(F.array(F.struct((F.col("p") - (wide - SHINGLE)).alias("s"), F.col("weight").alias("d")), F.struct((F.col("p") + 1).alias("s"), (-F.col("weight")).alias("d")))).alias("at")
-    of_pair = ["key", "n_words", "item", "item_words", "item_weight"]
-    changes = hits.join(bags.select("item", "item_words", "h", "weight"), "h").join(pairs, ["key", "item"]).select(*of_pair, at).groupBy(*of_pair, F.col("at.s").alias("s")).agg(F.sum("at.d").alias("d"))
-    along = Window.partitionBy(*of_pair).orderBy("s")
-    runs = changes.select(*of_pair, "s", F.sum("d").over(along).alias("held"), F.lead("s").over(along).alias("next")).where(F.col("held") >= similarity * F.col("item_weight"))
-    runs = runs.select("key", "n_words", "item", "item_words", F.greatest("s", F.lit(0)).alias("a"), F.least(F.col("next") - 1, F.col("n_words") - wide).alias("z")).where("a <= z")
-    starts = runs.select("key", "n_words", "item", "item_words", F.explode(F.sequence("a", "z")).alias("start"))
-    starts = materialize(starts, "starts")
-
-    texts = hashed.join(starts.select("key").distinct(), "key", "left_semi")
-    windows = texts.join(starts, ["key", "n_words"]).select("key", "item", "start", wide.alias("words"), F.slice("g", F.col("start") + 1, F.greatest(wide - (SHINGLE - 1), F.lit(1))).alias("g")).distinct()
-    rows = windows.select("key", "item", "start", "words", F.explode("g").alias("h"), F.xxhash64("g").alias("copy")).groupBy("key", "item", "start", "words", "copy", "h").agg(F.count("*").alias("n"))
-    rows = rows.join(weights, "h", "left").withColumn("weight", F.coalesce("w", weigh(F.lit(1)))).drop("w")
-    rows = materialize(rows, "windows")
-    ids = ["key", "item", "start", "words", "copy"]
+    placed = hits.distinct().join(texts.select("key", "copy").distinct(), ["key", "copy"], "left_semi").join(of_size, "h").join(texts, ["key", "copy", "item_words"])
+    changes = placed.select(*of_text, at).groupBy(*of_text, F.col("at.s").alias("s")).agg(F.sum("at.d").alias("d"))
+    along = Window.partitionBy(*of_text).orderBy("s")
+    runs = changes.select(*of_text, "s", F.sum("d").over(along).alias("held"), F.lead("s").over(along).alias("next")).where(F.col("held") >= F.col("enough"))
+    runs = runs.select("key", "copy", "item_words", F.greatest("s", F.lit(0)).alias("a"), F.least(F.col("next") - 1, F.col("n_words") - wide).alias("z")).where("a <= z")
+    starts = materialize(runs.select("key", "copy", "item_words", F.explode(F.sequence("a", "z")).alias("start")), "starts")
+
+    few = starts.select(F.col("key").alias("of_key"), F.col("copy").alias("of_copy")).distinct()
+    again = known.join(few, (F.col(doc_id).cast("long") == F.col("of_key")) & (F.xxhash64(F.col(text)) == F.col("of_copy")), "left_semi")
+    windows = _hashed(again, doc_id, text).dropDuplicates(["key", "copy"]).join(starts, ["key", "copy"])
+    ids = ["key", "copy", "item_words", "start", "words"]
+    cut = F.slice("g", F.col("start") + 1, F.greatest(wide - (SHINGLE - 1), F.lit(1)))
+    rows = windows.select("key", "copy", "item_words", "start", wide.alias("words"), F.explode(cut).alias("h")).groupBy(*ids, "h").agg(F.count("*").alias("n"))
+    rows = materialize(rows.join(weights, "h", "left").withColumn("weight", F.coalesce("weight", weigh(F.lit(1)))), "windows")
+
     prints = _fingerprint(rows, ids).select(*ids, "simhash", F.posexplode(_blocks("simhash")).alias("block", "value"))
-    of_items = _fingerprint(bags, ["item"]).select(F.col("item"), F.col("simhash").alias("item_simhash"), F.posexplode(_blocks("simhash")).alias("block", "value"))
-    near = prints.join(of_items, ["item", "block", "value"]).select(*ids, F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_simhash"))).alias("hamming")).where(F.col("hamming") <= RADIUS).distinct()
-    both = rows.join(bags.select("item", "h", F.col("n").alias("item_n")), ["item", "h"], "left").groupBy(*ids).agg(F.sum(F.col("weight") * F.least("n", F.coalesce("item_n", F.lit(0)))).alias("shared"), F.sum(F.col("weight") * F.col("n")).alias("own"))
-    scored = near.join(both, ids).join(sums, "item").withColumn("similarity", F.col("shared") / (F.col("own") + F.col("item_weight") - F.col("shared"))).where(F.col("similarity") >= similarity)
+    of_items = _fingerprint(bags, ["item", "item_words"]).select("item", "item_words", F.col("simhash").alias("item_simhash"), F.posexplode(_blocks("simhash")).alias("block", "value"))
+    hamming = F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_simhash")))
+    near = prints.join(materialize(of_items, "blocks"), ["item_words", "block", "value"]).where(hamming <= RADIUS).select(*ids, "item", hamming.alias("hamming")).distinct()
+    near = materialize(near, "near")
+    own = rows.groupBy(*ids).agg(F.sum(F.col("weight") * F.col("n")).alias("own"))
+    shared = near.join(rows, ids).join(bags.select("item", "h", F.col("n").alias("item_n")), ["item", "h"]).groupBy(*ids, "item", "hamming").agg(F.sum(F.col("weight") * F.least("n", "item_n")).alias("shared"))
+    scored = shared.join(own, ids).join(sums.select("item", "item_weight"), "item").withColumn("similarity", F.col("shared") / (F.col("own") + F.col("item_weight") - F.col("shared"))).where(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "words", (-F.col("hamming")).alias("d"))).alias("b")
-    return scored.groupBy("key", "item").agg(best).select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), (-F.col("b.s")).alias("window_start"), F.col("b.words").alias("window_words"), (-F.col("b.d")).alias("hamming"), F.round("b.similarity", 6).alias("similarity"))
+    out = scored.groupBy("key", F.col("item.key").alias("item_key")).agg(best)
+    out = out.select(F.col("key").alias("doc_id"), F.col("item_key").alias("item_id"), (-F.col("b.s")).alias("window_start"), F.col("b.words").alias("window_words"), (-F.col("b.d")).alias("hamming"), F.round("b.similarity", 6).alias("similarity"))
+    out = materialize(out, "leaks")
+    release(each, weights, bags, of_size, hits, texts, starts, rows, near)
+    return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak, with the columns of ``docs``."""
-    leaks = materialize(find_leaks(docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct().coalesce(1), "leaks")
-    return docs.join(leaks, F.col("doc_id").cast("long") == F.col("__leak"), "left_anti")
+    leaks = find_leaks(docs, benchmark).select("doc_id").distinct()
+    return anti_join(docs, leaks, {"doc_id": F.col("doc_id").cast("long")})
 
 
 def brute_force(docs: list[tuple], items: list[tuple], similarity: float = SIMILARITY) -> set[tuple]:

@@ -278,6 +278,19 @@ def test_decontamination_at_every_start(spark, docs):
     assert got == decontaminate.brute_force(rows, items) and {(0, 1), (2, 1), (9, 1)} <= got
 
 
+def test_decontamination_among_items_of_one_size(spark, docs):
+    """The index has to tell items of equal size and shared parts from each other; columns may have any name."""
+    shared = [f"s{i}" for i in range(20)]
+    items = [(i, " ".join(shared + [f"i{i}w{k}" for k in range(40)])) for i in range(12)] + [(3, " ".join(f"x{k}" for k in range(60)))]
+    rows = [(100 + i, " ".join([prose(30, i), t, prose(25, 50 + i)])) for i, t in items[::3]] + [(200, " ".join(shared * 3)), (201, " ".join(shared + [f"i{i}w{i}" for i in range(40)])), (202, items[5][1] + "\n" + items[12][1]), (203, items[4][1][:-8])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(rows), bench).collect()}
+    assert got == decontaminate.brute_force(rows, items) | {(202, 3)} and {(202, 5), (202, 3), (203, 4)} <= got and not {d for d, _ in got} & {200, 201}
+    odd = docs(rows, __leak="x", lost_doc_id="y", item="z", copy="c")
+    left = decontaminate.drop_contaminated(odd, bench)
+    assert {r["doc_id"] for r in left.collect()} == {200, 201} and left.columns == odd.columns
+
+
 def test_warc_round_trip(spark):
     import base64
     import hashlib
