@@ -5,8 +5,8 @@ skippable frame that holds it, then has one Zstandard frame per record. Archives
 Spark's own text writer, so they go to any store under Spark's commit protocol: a row is a
 frame, and the line separator is an empty skippable frame, which decoders pass over. Equal
 payloads: the digests' largest pages are found by an aggregate over ids and digests alone; of the
-pages that become revisits a small row says so, and travels with the payloads to the archives, so
-payloads are dealt out once. Revisit records hold no payload.
+pages that become revisits a small row says so, which meets the payloads where these are dealt out
+to archives, once. Revisit records hold no payload.
 
 Reading: archives are read whole as binary files of a bounded size; the dictionary is loaded
 from the leading frame, each record's frame decoded on its own, and headers and lengths
@@ -154,20 +154,14 @@ def read_archive(data: bytes):
 
 
 def _frames(dictionary: bytes):
-    """Rows (digest, rid, none, page, first, id, uri, payload), a page's row after the one that makes it a revisit."""
-
     def run(batches):
         import zstandard
 
         encoder = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        out, revisit, first = [dictionary_frame(dictionary)], None, None
+        out = [dictionary_frame(dictionary)]
         for b in batches:
-            for digest, rid, none, page, to, i, uri, payload in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                key = (digest, rid, none)
-                if not page:
-                    revisit, first = key, to
-                else:
-                    out.append(encoder.compress(record_bytes(i, uri, payload, base64.b32encode(digest).decode(), len(payload), first if key == revisit else None)))
+            for i, uri, payload, digest, first in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                out.append(encoder.compress(record_bytes(i, uri, payload, base64.b32encode(digest).decode(), len(payload), first)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
             out = []
         if out:
@@ -188,11 +182,10 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", uri: s
     # the responses of payloads that occur twice or more, and who refers to them
     first = slim.groupBy(F.col("digest").alias("d")).agg(F.max("id").alias("first"), F.count("*").alias("n"), F.max("size").alias("size")).where(f"n > 1 AND size >= {int(min_revisit_bytes)}").select("d", "first")
     revisits = slim.join(first, F.col("digest") == F.col("d")).where("id < first OR (id IS NULL AND first IS NOT NULL)").select("digest", "rid", "none", "first").distinct()
-    key = [F.col("digest"), F.col("rid"), F.col("none")]
-    rows = keyed.select(*key, F.lit(True).alias("page"), F.lit(None).cast("long").alias("first"), "id", "uri", "payload").unionByName(
-        revisits.select(*key, F.lit(False).alias("page"), "first", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("binary").alias("payload"))
-    )
-    frames = rows.repartition(n, *key).sortWithinPartitions(*key, "page").mapInArrow(_frames(dictionary), "frame binary")
+    # a hash join on what the payloads are dealt by: one shuffle of theirs, and no sort
+    key = ["digest", "rid", "none"]
+    rows = keyed.repartition(n, *key).join(revisits.hint("shuffle_hash"), key, "left").select("id", "uri", "payload", "digest", "first")
+    frames = rows.mapInArrow(_frames(dictionary), "frame binary")
     with own_shuffles(pages.sparkSession):
         frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
 

@@ -304,6 +304,20 @@ def test_warc_round_trip(spark):
     assert [got[i][2:] for i in range(1, 7)] == [("revisit", 2), ("response", None), ("revisit", 4), ("response", None), ("response", None), ("response", None)]
 
 
+def test_warc_odd_pages(spark):
+    """Null and repeated ids, repeated rows, more columns with names the operator uses."""
+    import base64
+    import hashlib
+
+    rows = [(None, "n", "same"), (None, "n", None), (3, "u", "same"), (7, "v", "same"), (7, "v", "same"), (7, "w", "other"), (8, None, "other"), (0, "z", "same"), (None, "q", "alone")]
+    pages = spark.createDataFrame([(*r, "x", 1, True) for r in rows], "page_id long, url string, html string, digest string, first long, none boolean").repartition(2)
+    got = sorted((tuple(r) for r in warc.round_trip(pages).collect()), key=str)
+    digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    last = {"same": 7, "other": 8}
+    want = [(i, len(h or ""), digest(h), *(("revisit", last[h]) if h in last and i != last[h] else ("response", None))) for i, _, h in rows]
+    assert got == sorted(want, key=str)
+
+
 def test_warc_rejects_broken_archives():
     import zstandard
 
