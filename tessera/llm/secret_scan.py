@@ -1,12 +1,15 @@
 """Secret scans (operator 5): an incremental ledger of content-addressed blobs. DataFrame functions only.
 
 Every version of every path is addressed by the SHA-256 of its text. The ledger holds, per blob,
-which rule versions have scanned it and what they found; a scan reads only texts with an unseen
-(blob, rule version) pair, one copy of each, and appends one row per scanned blob in a single
-committed write, so a lost executor or driver leaves the ledger as it was. Findings then join
-back to all paths that hold the blob.
-
-Hot blobs: copies are reduced to a smallest path per blob by a partial aggregate; the join back
+which rule versions have scanned it and what each of them found; a scan first writes down the
+unseen (blob, rule version) pairs, then reads only texts that have one, one copy of each, and
+appends one row per scanned blob in a single committed write, so a lost executor or driver leaves
+the ledger as it was. Findings then join back to all paths that hold the blob; only those of the
+rule versions asked for count, in the order these are named, so a rule that was replaced or
+retired leaves nothing behind.
+
+Text is shuffled only for that one copy, and not at all where the unseen pairs are few enough
+for Catalyst to broadcast them. Hot blobs: copies are reduced to a smallest path per blob by a partial aggregate; the join back
 is a plain equi-join of small rows, which adaptive execution splits where a blob is hot.
 
 Defined results: a null text is the empty text; rows with a null path are scanned and reported
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import hadoop_path, scratch
+from tessera.llm._common import hadoop_path, materialize, own_shuffles, release, remove, scratch
 
 
 @dataclass(frozen=True)
@@ -57,26 +60,27 @@ EXTRA = (
 )
 RULES = BASE + EXTRA
 
-_SPAN = "struct<start:int,rank:int,kind:string,end:int>"
+_SPAN = "struct<start:int,rule:string,kind:string,end:int>"
+_FOUND = "struct<start:int,rank:int,kind:string,end:int>"
 _LEDGER = f"blob binary, rules array<string>, spans array<{_SPAN}>"
 
 
 def spans_of(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, text, todo) to (blob, spans): matches of the rules in ``todo``, by start and rule."""
+    """(blob, text, todo) to (blob, spans): matches of the rules in ``todo``."""
     found = []
-    for rank, r in enumerate(rules):
+    for r in rules:
         p, text = F.lit(r.pattern), F.col("text")
         counted = F.transform(F.regexp_extract_all(text, p, F.lit(r.group)), lambda x: F.length(x))
         lengths = F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda x: F.length(x))
         gaps = F.transform(F.split(text, r.pattern, -1), lambda x: F.length(x))
         hit = F.array_contains("todo", r.name) & text.rlike(r.pattern)
-        found.append(F.when(hit, F.struct(F.lit(rank).alias("rank"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least"), F.arrays_zip(gaps.alias("gap"), lengths.alias("len"), counted.alias("counted")).alias("m"))))
+        found.append(F.when(hit, F.struct(F.lit(r.name).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least"), F.arrays_zip(gaps.alias("gap"), lengths.alias("len"), counted.alias("counted")).alias("m"))))
     per_rule = texts.select("blob", F.explode(F.array_compact(F.array(*found))).alias("r"))
-    each = per_rule.select("blob", "r.rank", "r.kind", "r.least", F.posexplode("r.m").alias("pos", "m")).where("m.len IS NOT NULL")
-    each = each.dropDuplicates(["blob", "rank", "pos"])
-    upto = Window.partitionBy("blob", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    each = per_rule.select("blob", "r.rule", "r.kind", "r.least", F.posexplode("r.m").alias("pos", "m")).where("m.len IS NOT NULL")
+    each = each.dropDuplicates(["blob", "rule", "pos"])
+    upto = Window.partitionBy("blob", "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = each.withColumn("end", F.sum(F.col("m.gap") + F.col("m.len")).over(upto).cast("int"))
-    kept = placed.where("m.counted >= least").select("blob", F.struct((F.col("end") - F.col("m.len")).alias("start"), "rank", "kind", "end").alias("span"))
+    kept = placed.where("m.counted >= least").select("blob", F.struct((F.col("end") - F.col("m.len")).alias("start"), "rule", "kind", "end").alias("span"))
     return kept.groupBy("blob").agg(F.sort_array(F.collect_list("span")).cast(f"array<{_SPAN}>").alias("spans"))
 
 
@@ -101,18 +105,24 @@ class BlobLedger:
         names = F.array(*[F.lit(r.name) for r in self.rules])
         heads = v.groupBy("blob").agg(F.min("path").alias("rep"))
         done = self.read().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
-        unseen = heads.join(done, "blob", "left").select("blob", "rep", F.array_except(names, F.coalesce("done", F.array().cast("array<string>"))).alias("todo")).where(F.size("todo") > 0)
+        todo = F.array_except(names, F.coalesce("done", F.array().cast("array<string>")))
+        unseen = materialize(heads.join(done, "blob", "left").select("blob", "rep", todo.alias("todo")).where(F.size("todo") > 0), "unseen")
         new = v.alias("v").join(unseen.alias("u"), F.col("v.path").eqNullSafe(F.col("u.rep")) & (F.col("v.blob") == F.col("u.blob"))).select("u.blob", "v.text", "u.todo")
         spans = spans_of(new, self.rules)
-        unseen.select("blob", F.col("todo").alias("rules")).join(spans, "blob", "left").select("blob", "rules", F.coalesce("spans", F.array().cast(f"array<{_SPAN}>")).alias("spans")).write.mode("append").parquet(self.path)
+        out = unseen.select("blob", F.col("todo").alias("rules")).join(spans, "blob", "left").select("blob", "rules", F.coalesce("spans", F.array().cast(f"array<{_SPAN}>")).alias("spans"))
+        with own_shuffles(self.spark):
+            out.write.mode("append").parquet(self.path)
+        release(unseen)
 
     def findings(self, versions: DataFrame, path: str, text: str) -> DataFrame:
-        """(path, spans) for every row of ``versions``, from the ledger alone."""
-        kinds = [r.kind for r in self.rules]
-        known = self.read().where(F.size("spans") > 0).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-        known = known.select(F.col("blob").alias("known"), F.filter("spans", lambda s: s["kind"].isin(kinds)).alias("spans"))
+        """(path, spans) for every row of ``versions``, from the ledger alone: spans of this ledger's rule versions, by start and then in the rules' order."""
+        rank = F.array(*[F.lit(r.name) for r in self.rules])
+        known = self.read().where(F.size("spans") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+        own = F.filter("spans", lambda s: F.array_contains(rank, s["rule"]))
+        ranked = F.transform(own, lambda s: F.struct(s["start"].alias("start"), (F.array_position(rank, s["rule"]) - 1).cast("int").alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
+        known = known.select(F.col("blob").alias("known"), F.sort_array(ranked).cast(f"array<{_FOUND}>").alias("spans"))
         heads = self.addressed(versions, path, text).select("path", "blob")
-        return heads.join(known, heads.blob == known.known, "left").select("path", F.coalesce("spans", F.array().cast(f"array<{_SPAN}>")).alias("spans"))
+        return heads.join(known, heads.blob == known.known, "left").select("path", F.coalesce("spans", F.array().cast(f"array<{_FOUND}>")).alias("spans"))
 
 
 def scan_secrets(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -120,7 +130,11 @@ def scan_secrets(versions: DataFrame, path: str = "doc_id", text: str = "text",
     spark = versions.sparkSession
     book = BlobLedger(spark, ledger or scratch(spark, "ledger"), rules)
     book.scan(versions, path, text)
-    return book.findings(versions, path, text)
+    if ledger:
+        return book.findings(versions, path, text)
+    out = materialize(book.findings(versions, path, text), "findings")
+    remove(spark, book.path)
+    return out
 
 
 def _joined(spans: F.Column) -> F.Column:

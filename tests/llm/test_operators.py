@@ -254,6 +254,23 @@ def test_secret_ledger_is_incremental(spark, docs, tmp_path):
     assert any(s["kind"] == "greek" for s in spans[1]) and any(s["kind"] == "assign" for s in spans[17])
 
 
+def test_secret_ledger_knows_rule_versions(spark, docs, tmp_path):
+    """A replaced rule leaves no finding; the order of rules is the asker's; retired rules come back unread."""
+    greek = secret_scan.Rule("greek", 1, "alpha")
+    base, rows = secret_scan.RULES, docs(ROWS)
+    path = f"file://{tmp_path}/ledger"
+    secret_scan.BlobLedger(spark, path, base).scan(rows, "doc_id", "text")
+    spans = lambda book: {r["path"]: [(s["kind"], s["rank"]) for s in r["spans"]] for r in book.findings(rows, "doc_id", "text").collect()}
+    other = secret_scan.BlobLedger(spark, path, (greek, secret_scan.Rule("assign", 2, "no such text"), *base[1:]))
+    other.scan(rows, "doc_id", "text")
+    found = spans(other)
+    assert not any(k == "assign" for v in found.values() for k, _ in v) and ("greek", 0) in found[1] and ("access", 2) in found[17]
+    first = secret_scan.BlobLedger(spark, path, base)
+    n = first.read().count()
+    first.scan(rows, "doc_id", "text")
+    assert first.read().count() == n and ("assign", 0) in spans(first)[17] and not any(k == "greek" for v in spans(first).values() for k, _ in v)
+
+
 def test_decontamination(spark, docs):
     items = [(i, prose(n, 70 + i)) for i, n in enumerate((30, 45, 60))] + [(9, "too short"), (10, None), (11, prose(40, 80))]
     edit = items[1][1].split()
