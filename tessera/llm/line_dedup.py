@@ -1,10 +1,12 @@
 """Line dedup (operator 10): sharded minimal perfect hashes over distinct line keys.
 
 Every eligible line becomes a 128-bit key. Keys are dealt to shards as packed arrays (one row
-for many lines). A shard numbers its distinct keys by a minimal perfect hash and keeps, per slot,
-a fingerprint, a document count and the first holder; the packed probes of the documents are
-answered from these arrays, so no line is ever joined with a line. Answers return per document
-and the texts are rebuilt in one pass.
+for many lines). One job builds the index: a shard numbers its distinct keys by a minimal perfect
+hash and keeps, per slot, a fingerprint, a document count and the first holder; a shard's index is
+a row of a table in the shared folder, without the keys. Another job probes it: documents' packed
+keys meet their shard's arrays, so no line is ever joined with a line. ``build_index`` and
+``probe_index`` do so apart too, for documents that the index doesn't know: of their lines one in
+2**32 is taken for another at most. Answers return per document and the texts are rebuilt in one pass.
 
 Hot lines: a key that many documents of one batch hold is sent once for the batch, with its
 smallest document; the shard's answer goes back to the batch, whose holders were set aside. So a
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialize, shards_for
+from tessera.llm._common import materialize, release, shards_for
 
 MIN_CODE_POINTS = 10
 BYTES_PER_SHARD = 64 << 20
@@ -82,6 +84,23 @@ class MinimalPerfectHash:
             out[i] = self.rest.get((int(hi[i]), int(lo[i])), -1)
         return out
 
+    def packed(self) -> dict:
+        """The function without its keys, as plain values."""
+        rest = sorted(self.rest.items(), key=lambda x: x[1])
+        return {"n": self.n, "sizes": [x[0] for x in self.levels], "bits": [np.packbits(x[1]).tobytes() for x in self.levels], "rest": np.array([k for k, _ in rest], np.uint64).tobytes()}
+
+    @classmethod
+    def unpacked(cls, n: int, sizes: list[int], bits: list[bytes], rest: bytes) -> MinimalPerfectHash:
+        new = cls(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        base = 0
+        for size, b in zip(sizes, bits, strict=True):
+            once = np.unpackbits(np.frombuffer(b, np.uint8), count=size).astype(bool)
+            new.levels.append((size, once, np.cumsum(once, dtype=np.int64) - once, base))
+            base += int(once.sum())
+        left = np.frombuffer(rest, np.uint64).reshape(-1, 2).tolist()
+        new.rest, new.n = {(a, b): base + i for i, (a, b) in enumerate(left)}, n
+        return new
+
 
 def line_key(line: bytes) -> bytes:
     """ASCII white space stripped at both ends, A-Z lower-cased (bytes methods touch ASCII alone)."""
@@ -164,12 +183,21 @@ def _grouped(by: np.ndarray, hi, lo, doc, as_doc: bool) -> pa.Table:
     return pa.table([names if as_doc else none, none if as_doc else names, [hi[p].tobytes() for p in parts], [lo[p].tobytes() for p in parts], none if as_doc else [doc[p].tobytes() for p in parts]], schema=_ANSWER)
 
 
-def _probe(entries: pa.Table) -> pa.Table:
-    """One shard: number the keys, fill the arrays, answer every probe."""
-    sizes = np.array([len(x) // 8 for x in entries.column("doc").to_pylist()])
-    heavy = np.repeat(np.array(entries.column("heavy").to_pylist()), sizes)
+def _opened(entries: pa.Table):
+    """What a shard's packed rows hold, an element for each key of a row: heavy, batch, hi, lo, doc."""
+    sizes = np.array([len(x) // 8 for x in entries.column("doc").to_pylist()], np.int64)
+    heavy = np.repeat(np.array(entries.column("heavy").to_pylist(), bool), sizes)
     batch = np.repeat(np.array(entries.column("batch").to_pylist(), np.int64), sizes)
-    hi, lo, doc = _cat(entries, "hi", "<u8"), _cat(entries, "lo", "<u8"), _cat(entries, "doc", "<i8")
+    return heavy, batch, _cat(entries, "hi", "<u8"), _cat(entries, "lo", "<u8"), _cat(entries, "doc", "<i8")
+
+
+_INDEX = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("sizes", pa.list_(pa.int64())), ("bits", pa.list_(pa.binary())), ("rest", pa.binary()), ("fingerprints", pa.binary()), ("counts", pa.binary()), ("holders", pa.binary())])
+INDEX = "shard int, n long, sizes array<long>, bits array<binary>, rest binary, fingerprints binary, counts binary, holders binary"
+
+
+def _build(entries: pa.Table) -> pa.Table:
+    """One shard: number its distinct keys and fill the arrays."""
+    heavy, _, hi, lo, doc = _opened(entries)
     uh, ul, _, first = _distinct(hi, lo, doc)
     mph = MinimalPerfectHash(uh[first], ul[first])
     slot = mph.index(hi, lo)
@@ -181,7 +209,20 @@ def _probe(entries: pa.Table) -> pa.Table:
     np.maximum.at(last, slot, doc)
     count = np.where(holder < last, 2, 1).astype(np.uint8)  # of documents; 2 stands for two or more
     np.maximum.at(count, slot, np.where(heavy, 2, 1).astype(np.uint8))
-    hit = (count[slot] >= 2) & (fingerprint[slot] == (lo >> np.uint64(32)).astype(np.uint32))
+    row = {"shard": entries.column("shard")[0].as_py()} | mph.packed() | {"fingerprints": fingerprint.tobytes(), "counts": count.tobytes(), "holders": holder.tobytes()}
+    return pa.Table.from_pylist([row], schema=_INDEX)
+
+
+def _probe(entries: pa.Table, index: pa.Table) -> pa.Table:
+    """One shard: what the arrays say of every key, for its document, or for its batch where that has many holders."""
+    heavy, batch, hi, lo, doc = _opened(entries)
+    if not index.num_rows or not len(hi):
+        return _ANSWER.empty_table()
+    row = index.slice(0, 1).to_pylist()[0]
+    mph = MinimalPerfectHash.unpacked(row["n"], row["sizes"], row["bits"], row["rest"])
+    fingerprint, count, holder = (np.frombuffer(row[c], kind) for c, kind in (("fingerprints", "<u4"), ("counts", np.uint8), ("holders", "<i8")))
+    slot = mph.index(hi, lo)
+    hit = (slot >= 0) & (fingerprint[slot] == (lo >> np.uint64(32)).astype(np.uint32)) & ((count[slot] >= 2) | (doc != holder[slot]))
     plain = hit & ~heavy & (doc != holder[slot])
     deferred = hit & heavy
     return pa.concat_tables([
@@ -233,22 +274,44 @@ def _rebuild(least: int):
     return run
 
 
+def _entries(docs: DataFrame, doc_id: str, text: str, least: int, n_shards: int) -> DataFrame:
+    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    return materialize(base.mapInArrow(_index(n_shards, least), _ENTRY), "lines")
+
+
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_code_points: int = MIN_CODE_POINTS, bytes_per_shard: int = BYTES_PER_SHARD, entries: DataFrame | None = None) -> DataFrame:
+    """The index of the documents' lines, a row for each shard that has any; as many shards as there are partitions of hashes."""
+    made = entries is None
+    if made:
+        entries = _entries(docs, doc_id, text, min_code_points, shards_for(docs, text, bytes_per_shard))
+    index = materialize(entries.where("shard >= 0").groupBy("shard").applyInArrow(_build, INDEX), "line-index")
+    if made:
+        release(entries)
+    return index
+
+
+def probe_index(index: DataFrame, entries: DataFrame) -> DataFrame:
+    """doc_id, hi, lo: packed keys of the lines that a document loses to a smaller one, some rows a document."""
+    probes = entries.where("shard >= 0").groupBy("shard").cogroup(index.groupBy("shard"))
+    answers = materialize(probes.applyInArrow(_probe, "doc_id long, batch long, hi binary, lo binary, doc binary"), "answers")
+    per_batch = answers.where("batch is not null").groupBy("batch").agg(F.collect_list("hi").alias("a_hi"), F.collect_list("lo").alias("a_lo"), F.collect_list("doc").alias("a_doc"))
+    settled = entries.where("shard < 0").select("batch", "hi", "lo", "doc").join(per_batch, "batch").select("hi", "lo", "doc", "a_hi", "a_lo", "a_doc").mapInArrow(_settle, "doc_id long, hi binary, lo binary")
+    lost = materialize(answers.where("doc_id is not null").select("doc_id", "hi", "lo").unionByName(settled), "lost-lines")
+    release(answers)
+    return lost
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_code_points: int = MIN_CODE_POINTS, bytes_per_shard: int = BYTES_PER_SHARD) -> DataFrame:
     """``docs`` with repeated lines left only in their smallest document.
 
     Returns the columns of ``docs`` as a struct ``doc`` (other than the text), and ``text``
     (rebuilt; null stays null), ``n_lines`` (before) and ``n_dropped``.
     """
-    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    n_shards = shards_for(base, "text", bytes_per_shard)
-    entries = materialize(base.mapInArrow(_index(n_shards, min_code_points), _ENTRY), "lines")
-    answers = materialize(entries.where("shard >= 0").groupBy("shard").applyInArrow(_probe, "doc_id long, batch long, hi binary, lo binary, doc binary"), "answers")
-    per_batch = answers.where("batch is not null").groupBy("batch").agg(F.collect_list("hi").alias("a_hi"), F.collect_list("lo").alias("a_lo"), F.collect_list("doc").alias("a_doc"))
-    settled = entries.where("shard < 0").select("batch", "hi", "lo", "doc").join(per_batch, "batch").select("hi", "lo", "doc", "a_hi", "a_lo", "a_doc").mapInArrow(_settle, "doc_id long, hi binary, lo binary")
-    drops = (
-        answers.where("doc_id is not null").select("doc_id", "hi", "lo").unionByName(settled)
-        .groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_list("hi").alias("hi"), F.collect_list("lo").alias("lo"))
-    )
+    entries = _entries(docs, doc_id, text, min_code_points, shards_for(docs, text, bytes_per_shard))
+    index = build_index(docs, doc_id, text, min_code_points, entries=entries)
+    lost = probe_index(index, entries)
+    release(entries, index)
+    drops = lost.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_list("hi").alias("hi"), F.collect_list("lo").alias("lo"))
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
     whole = docs.select(F.struct(*others).alias("doc"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     joined = whole.join(drops, F.col("id") == F.col("drop_id"), "left").select("doc", "text", "hi", "lo")

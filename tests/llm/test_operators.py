@@ -46,6 +46,21 @@ def test_minimal_perfect_hash():
     hi, lo = g.integers(0, 2**63, 5000, dtype=np.uint64), g.integers(0, 2**63, 5000, dtype=np.uint64)
     m = line_dedup.MinimalPerfectHash(hi, lo)
     assert sorted(m.index(hi, lo).tolist()) == list(range(5000)) and m.n == 5000
+    again = line_dedup.MinimalPerfectHash.unpacked(**m.packed())
+    assert (again.index(hi, lo) == m.index(hi, lo)).all() and again.n == 5000
+    m.levels, m.rest = m.levels[:1], {(int(a), int(b)): i for a, b, i in zip(hi, lo, m.index(hi, lo), strict=True) if i >= m.levels[0][1].sum()}
+    again = line_dedup.MinimalPerfectHash.unpacked(**m.packed())
+    assert (again.index(hi, lo) == m.index(hi, lo)).all()
+
+
+def test_line_index_is_kept_and_probed(docs):
+    """An index of some documents tells which lines of other documents they hold."""
+    known = line_dedup.build_index(docs([(i, f"line number {i} of the site\nshared by all of them") for i in range(50)]), bytes_per_shard=1 << 20)
+    assert known.agg({"n": "sum"}).first()[0] == 51
+    n_shards = 4  # as many as the session has shuffle partitions
+    new = docs([(100, "line number 7 of the site\nnever seen before, any of it"), (101, "SHARED by all of them \nx"), (102, "nothing known here at all")])
+    lost = line_dedup.probe_index(known, line_dedup._entries(new, "doc_id", "text", 10, n_shards))
+    assert {r["doc_id"]: len(r["hi"]) // 8 for r in lost.collect()} == {100: 1, 101: 1}
 
 
 def test_substring_dedup(docs):
@@ -356,19 +371,52 @@ def test_shard_store(spark, docs, tmp_path):
         store.append(docs([(100 * k + i, prose(40, 100 * k + i)) for i in range(20)]), max_rows=10)
     before, small = store.read().count(), len(store.manifest()["shards"])
     old = store.manifest()["version"]
-    store.compact(keep_versions=2)
+    held = store.read()  # a reader of the version before
+    store.compact()
     m = store.manifest()
-    assert store.read().count() == before == 140 and len(m["shards"]) < small and m["version"] > old
+    assert store.read().count() == before == 140 == held.count() and len(m["shards"]) < small and m["version"] > old
     assert sum(s["rows"] for s in m["shards"]) == 140
-    stale = {"version": m["version"] - 1, "schema": m["schema"], "shards": []}
     with pytest.raises(shards.ConflictError):
-        store._commit(stale, [], m["schema"])
+        store._commit(store.manifest(m["version"] - 1), set(), [], m["schema"])
+    store.vacuum(retain_s=3600)
+    assert store.read(old).count() == 140
+    store._write(docs(ROWS))  # a writer that died before its commit
+    store.vacuum(retain_s=3600)
+    assert len(list((tmp_path / "store/data").rglob("*.parquet"))) > len(m["shards"])
+    store.vacuum(retain_s=0)
+    assert store.versions() == [m["version"]] and store.read().count() == 140
+    assert {f.name for f in (tmp_path / "store/data").rglob("*.parquet")} == {s["path"].rsplit("/", 1)[1] for s in m["shards"]}
+    assert {f.name for f in (tmp_path / "store/segments").glob("*.json")} == set(m["segments"])
     with pytest.raises(ValueError):
         shards.ShardStore(spark, f"file://{tmp_path}/none").read()
     same = shards.compacted(docs(ROWS, **CLASHING))
     assert results(same, "doc_id", "text") == results(docs(ROWS), "doc_id", "text") and same.columns == docs(ROWS, **CLASHING).columns
 
 
+def test_shard_store_with_other_writers(spark, docs, tmp_path, monkeypatch):
+    """A writer that lost the race tries again on top; a compaction drops merges of shards that are gone."""
+    a, b = (shards.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=60_000, fan_in=3) for _ in range(2))
+    make = lambda k: docs([(100 * k + i, prose(40, 100 * k + i)) for i in range(20)])
+    a.append(make(0), max_rows=5)
+    real, raced = shards.ShardStore._commit, []
+
+    def commit(self, base, *what):
+        if self is a and not raced:
+            raced.append(b.append(make(2), max_rows=5) if not what[0] else b.compact())
+        return real(self, base, *what)
+
+    monkeypatch.setattr(shards.ShardStore, "_commit", commit)
+    a.append(make(1), max_rows=5)
+    assert raced and a.read().count() == 60
+    raced.clear()
+    a.compact()
+    assert raced and a.read().count() == 60 == a.read().select("doc_id").distinct().count()
+    monkeypatch.setattr(shards, "SEGMENTS", 2)
+    for k in range(3, 7):
+        a.append(make(k), max_rows=20)
+    assert len(a.manifest()["segments"]) <= 3 and a.read().count() == 140
+
+
 NULL_ID = [(None, prose(80, 1)), (None, None), (1, prose(80, 1)), (2, prose(80, 1)), (2, prose(80, 1))]
 
 
