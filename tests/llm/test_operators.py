@@ -69,11 +69,76 @@ def test_substring_dedup(docs):
     assert sum(r[2] for r in got) > 0
 
 
-def test_debruijn_compacts_paths():
+def test_debruijn_pieces():
     import numpy as np
 
     at = lambda *x: np.array(x)
-    assert debruijn.compact(at(3, 4, 5, 9), at(1, 1, 1, 1), at(7, 8, 9, 20)) == [(3, 3, 1, 7), (9, 1, 1, 20)]
+    assert debruijn.compact(at(3, 4, 5, 9, 9), at(1, 1, 1, 1, 1), at(0, 0, 0, 0, 0), at(7, 8, 9, 20, 20)) == [(3, 3, 1, 0, 7), (9, 1, 1, 0, 20)]
+    assert debruijn.compact(at(0, 1, 2), at(1, 1, 1), at(5, 5, 5), at(63, 64, 65)) == [(0, 1, 1, 5, 63), (1, 2, 1, 5, 64)]
+
+
+def test_debruijn_hashes_that_clash(docs):
+    """With nodes of eight bits most edges share their hash with others; verification finds it, and nothing wrong goes."""
+    got = results(debruijn.kept_digest(debruijn.remove_repeats(docs(ROWS), first_bits=8)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(debruijn.brute_force(ROWS), key=str)
+
+
+def unitigs(rows):
+    """Maximal nonbranching paths of repeated edges, as lists of edges; cycles from any edge."""
+    n = debruijn.WINDOW
+    held = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - n + 1):
+            held.setdefault(tuple(w[i : i + n]), set()).add(d)
+    edges = {e for e, ds in held.items() if len(ds) > 1}
+    out, into = {}, {}
+    for e in edges:
+        out.setdefault(e[:-1], []).append(e)
+        into.setdefault(e[1:], []).append(e)
+
+    def after(e):
+        v = e[1:]
+        return out[v][0] if len(into.get(v, ())) == 1 == len(out.get(v, ())) else None
+
+    starts = edges - {after(e) for e in edges if after(e) and after(e) != e}
+    paths, seen = [], set()
+    for e in [*starts, *edges]:
+        path = []
+        while e is not None and e not in seen:
+            path.append(e)
+            seen.add(e)
+            e = after(e)
+        if path:
+            paths.append(path)
+    return paths
+
+
+def test_debruijn_paths(docs):
+    """Paths across sources, branches, a cycle, a node that loops."""
+    w = [f"w{i}" for i in range(400)]
+    ring = [f"r{i}" for i in range(20)]
+    rows = [
+        (9, w[:120]), (8, w[60:200]), (7, w[150:300]), (6, w[:300]), (5, w[20:40] + ["x"] + w[41:90]), (4, w[20:40] + ["x"] + w[41:90] + w[250:300]),
+        (3, ring * 3), (2, ring[7:] + ring * 3), (1, ["one"] * 40), (10, ["one"] * 30 + w[380:]), (11, w[300:400]),
+    ]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    spans, paths = debruijn.repeated_spans(docs(rows))
+    text = {i: t.split() for i, t in rows}
+    by = {}
+    for r in paths.collect():
+        by.setdefault(tuple(r["path"]), []).append((r["offset"], r["source"], r["start"], r["edges"]))
+    got = []
+    for parts in by.values():
+        path = []
+        for offset, source, start, edges in sorted(parts):
+            assert offset == len(path)
+            path += [tuple(text[source][start + i : start + i + debruijn.WINDOW]) for i in range(edges)]
+        got.append(path)
+    want = unitigs(rows)
+    turned = lambda p: min(p[i:] + p[:i] for i in range(len(p))) if p[-1][1:] == p[0][:-1] else p
+    assert sorted(map(turned, got)) == sorted(map(turned, want)) and len(want) > 5
+    assert results(debruijn.kept_digest(debruijn.remove_repeats(docs(rows))), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(debruijn.brute_force(rows), key=str)
 
 
 def test_suffix_array(docs):
@@ -439,7 +504,7 @@ def test_ids_with_several_texts(docs):
     """Rows that share an id but not the text: each is judged by its own text."""
     a, b = prose(40, 11), prose(45, 12)
     rows = [(1, a), (2, a), (2, b), (2, b[40:]), (3, b + "\n" + a), (3, prose(30, 13)), (3, None)]
-    for module, cols in ((suffixes, ("n_bytes", "n_removed", "n_spans", "kept_sha256")), (line_dedup, ("n_lines", "n_dropped", "kept_sha256"))):
+    for module, cols in ((suffixes, ("n_bytes", "n_removed", "n_spans", "kept_sha256")), (debruijn, ("n_words", "n_removed", "kept_sha256")), (line_dedup, ("n_lines", "n_dropped", "kept_sha256"))):
         call = module.dedup_lines if module is line_dedup else module.remove_repeats
         got = results(module.kept_digest(call(docs(rows))), "doc_id", *cols)
         assert got == sorted(module.brute_force(rows), key=str), module.__name__
