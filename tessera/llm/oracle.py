@@ -25,9 +25,10 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 're
 
 def _quality() -> str:
     q = quality
-    ratio = {r: f"CAST({top} AS DOUBLE) / greatest({bottom}, 1)" for r, (top, bottom, _) in q.RATIOS.items()}
+    ratio = {r: f"CAST({top} AS DOUBLE) / greatest({bottom}, 1)" for r, (top, bottom, *_) in q.RATIOS.items()}
     long = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, {x} AS x FROM c WHERE NOT base_failed" for r, x in ratio.items())
-    slack = "CASE ratio " + " ".join(f"WHEN '{r}' THEN {s}" for r, (_, _, s) in q.RATIOS.items()) + " END"
+    least = "CASE ratio " + " ".join(f"WHEN '{r}' THEN {x[2]}" for r, x in q.RATIOS.items()) + " END"
+    both = [r for r, x in q.RATIOS.items() if x[3]]
     levels = []
     for level, keys in (("own", ["lang", "source"]), ("language", ["lang"]), ("whole", [])):
         by = "".join(f"{k}, " for k in keys)
@@ -35,7 +36,7 @@ def _quality() -> str:
 {level}_n AS (SELECT {by}ratio, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
 {level}_r AS (SELECT *, sum(n) OVER (PARTITION BY {by}ratio) AS total, sum(n) OVER (PARTITION BY {by}ratio ORDER BY bucket) AS upto, CASE WHEN bucket = {q.ZERO_BUCKET} THEN 0.0::DOUBLE ELSE pow({q.GAMMA}::DOUBLE, bucket) * {2 / (q.GAMMA + 1)!r}::DOUBLE END AS v FROM {level}_n),
 {level}_q AS (SELECT {by}ratio, min(CASE WHEN upto >= 0.25 * total THEN v END) AS a, min(CASE WHEN upto >= 0.75 * total THEN v END) AS z, max(total) AS total FROM {level}_r GROUP BY ALL),
-{level}_c AS (SELECT {by}ratio, z + {q.SPREAD} * (z - a) + {slack} AS cut, total FROM {level}_q)""")
+{level}_c AS (SELECT {by}ratio, z + greatest({q.SPREAD} * (z - a), {least}) AS high, a - greatest({q.SPREAD} * (z - a), {least}) AS low, total FROM {level}_q)""")
     return rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 k AS (SELECT doc_id, array_to_string(words[i : i + {q.WINDOW - 1}], ' ') AS win, i FROM (SELECT doc_id, words, unnest(range(1, len(words) - {q.WINDOW - 2})) AS i FROM w)),
@@ -44,14 +45,14 @@ r AS (SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest(range
 l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(lines) AS line FROM w) WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
 c0 AS (SELECT doc_id, lang, source, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
- length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS n_marks, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(r.n, 0) AS n_repeat_words
+ length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS n_marks, len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_stutters, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(r.n, 0) AS n_repeat_words
  FROM w LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 c AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.REPEAT_PERCENT} * n_words AS base_failed FROM c0),
 x AS ({long}),
 sketch AS (SELECT lang, source, ratio, CASE WHEN x <= 0 THEN {q.ZERO_BUCKET} ELSE CAST(ceil(ln(x) / ln({q.GAMMA}::DOUBLE)) AS INTEGER) END AS bucket, count(*) AS n FROM x GROUP BY ALL),{",".join(levels)},
-cuts AS (SELECT o.lang, o.source, o.ratio, CASE WHEN o.total >= {q.MIN_DOCS} THEN o.cut WHEN l.total >= {q.MIN_DOCS} THEN l.cut ELSE a.cut END AS cut FROM own_c o JOIN language_c l ON o.ratio = l.ratio AND o.lang IS NOT DISTINCT FROM l.lang JOIN whole_c a ON o.ratio = a.ratio),
-wide AS (SELECT lang, source, {", ".join(f"max(CASE WHEN ratio = '{r}' THEN cut END) AS cut_{r}" for r in ratio)} FROM cuts GROUP BY ALL)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(f"coalesce({x} > cut_{r}, false)" for r, x in ratio.items())}) AS kept
+cuts AS (SELECT o.lang, o.source, o.ratio, {", ".join(f"CASE WHEN o.total >= {q.MIN_DOCS} THEN o.{x} WHEN l.total >= {q.MIN_DOCS} THEN l.{x} ELSE a.{x} END AS {x}" for x in ("high", "low"))} FROM own_c o JOIN language_c l ON o.ratio = l.ratio AND o.lang IS NOT DISTINCT FROM l.lang JOIN whole_c a ON o.ratio = a.ratio),
+wide AS (SELECT lang, source, {", ".join(f"max(CASE WHEN ratio = '{r}' THEN {x} END) AS {x}_{r}" for r in ratio for x in ("high", "low"))} FROM cuts GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join([f"coalesce({x} > high_{r}, false)" for r, x in ratio.items()] + [f"coalesce({ratio[r]} < low_{r}, false)" for r in both])}) AS kept
 FROM c LEFT JOIN wide ON c.lang IS NOT DISTINCT FROM wide.lang AND c.source IS NOT DISTINCT FROM wide.source"""
 
 

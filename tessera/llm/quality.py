@@ -4,9 +4,10 @@ Each document gets a few counts in one pass over its text. Ratios of these are s
 (language, source): logarithmic buckets of relative width ``GAMMA - 1`` with exact counts, so
 sketches merge by adding counts, whatever the order, and a quantile is within 1 % of its value.
 A group of fewer than ``min_docs`` documents uses the merged sketch of its language, and a small
-language that of all documents. A ratio over q75 + ``spread`` * (q75 - q25) + ``slack`` rejects a
-document: the cutoff follows each group's own distribution; ``slack`` is the least distance that
-counts as an outlier where a group's values hardly vary. The verdict joins documents with the
+language that of all documents. A ratio that is over q75, or for ratios of two tails under q25, by more
+than ``spread`` * (q75 - q25) rejects a document: the cutoff follows each group's own
+distribution. ``least`` is the distance from the quartile under which nothing counts as an
+outlier; it only decides where a group's values hardly vary at all. The verdict joins documents with the
 thresholds of their group, a table of groups x ratios that Catalyst broadcasts only if its size
 on disk is under the session's limit.
 
@@ -35,16 +36,16 @@ GAMMA = 1.02
 ZERO_BUCKET = -1_000_000
 MIN_DOCS = 200
 SPREAD = 6.0
-#: ratio -> (numerator, denominator, slack)
+#: ratio -> (numerator, denominator, least distance, whether low values are judged too)
 RATIOS = {
-    "symbol": ("n_symbols", "n_words", 0.3),
-    "upper": ("n_upper", "word_chars", 0.3),
-    "mark": ("n_marks", "n_words", 0.3),
-    "dup_line": ("n_dup_lines", "n_lines", 0.5),
-    "repeat": ("n_repeat_words", "n_words", 0.3),
-    "word_len": ("word_chars", "n_words", 6.0),
+    "symbol": ("n_symbols", "n_words", 0.15, False),
+    "upper": ("n_upper", "word_chars", 0.15, False),
+    "mark": ("n_marks", "n_words", 0.15, False),
+    "dup_line": ("n_dup_lines", "n_lines", 0.45, False),
+    "stutter": ("n_stutters", "n_words", 0.2, False),
+    "word_len": ("word_chars", "n_words", 1.5, True),
 }
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_lines"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_lines", "n_stutters"]
 #: Texts are measured in runs of about so many bytes, which bounds a worker's memory.
 CHUNK_BYTES = 6_000_000
 
@@ -88,6 +89,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     for i, t in enumerate(texts):
         words = t.split()
         hashes.append(np.fromiter(map(hash, words), np.int64, len(words)))
+        out["n_stutters"][i] = int((hashes[-1][1:] == hashes[-1][:-1]).sum())
         out["n_words"][i] = len(words)
         solid = t.translate(None, SPACE)
         out["word_chars"][i] = len(solid) if solid.isascii() else len(solid.decode("utf-8", "replace"))
@@ -123,7 +125,7 @@ def base_failed() -> F.Column:
 
 
 def _ratio(name: str) -> F.Column:
-    top, bottom, _ = RATIOS[name]
+    top, bottom, *_ = RATIOS[name]
     return F.col(top).cast("double") / F.greatest(F.col(bottom), F.lit(1)).cast("double")
 
 
@@ -146,23 +148,26 @@ def thresholds(sketches: DataFrame, min_docs: int = MIN_DOCS, spread: float = SP
         value = F.when(F.col("bucket") == ZERO_BUCKET, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket")) * (2 / (GAMMA + 1)))
         at = lambda q, value=value: F.min(F.when(F.col("upto") >= q * F.col("total"), value))
         q = ranked.groupBy(*keys, "ratio").agg(at(0.25).alias("q25"), at(0.75).alias("q75"), F.first("total").alias("total"))
-        cut = F.col("q75") + spread * (F.col("q75") - F.col("q25"))
-        for r, (_, _, slack) in RATIOS.items():
-            q = q.withColumn("slack", F.when(F.col("ratio") == r, F.lit(slack)).otherwise(F.col("slack") if "slack" in q.columns else F.lit(None).cast("double")))
-        tables[level] = q.groupBy(*keys).agg(*[F.max(F.when(F.col("ratio") == r, cut + F.col("slack"))).alias(f"{level}_{r}") for r in RATIOS], F.max("total").alias(f"{level}_n"))
+        by = lambda r: F.greatest(spread * (F.col("q75") - F.col("q25")), F.lit(RATIOS[r][2]))
+        of = lambda r, x: F.max(F.when(F.col("ratio") == r, x))
+        cuts = [of(r, F.col("q75") + by(r)).alias(f"{level}_{r}_high") for r in RATIOS] + [of(r, F.col("q25") - by(r)).alias(f"{level}_{r}_low") for r, x in RATIOS.items() if x[3]]
+        tables[level] = q.groupBy(*keys).agg(*cuts, F.max("total").alias(f"{level}_n"))
     groups = tables["own"].alias("o").join(tables["language"].alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")))
     whole = tables["all"].first()  # one row of a number for each ratio
     pick = lambda r: F.when(F.col("own_n") >= min_docs, F.col(f"own_{r}")).when(F.col("language_n") >= min_docs, F.col(f"language_{r}")).otherwise(F.lit(whole[f"all_{r}"] if whole else None).cast("double"))
-    return groups.select(F.col("o.lang").alias("t_lang"), F.col("o.source").alias("t_source"), *[pick(r).alias(f"cut_{r}") for r in RATIOS])
+    cuts = [f"{r}_high" for r in RATIOS] + [f"{r}_low" for r, x in RATIOS.items() if x[3]]
+    return groups.select(F.col("o.lang").alias("t_lang"), F.col("o.source").alias("t_source"), *[pick(c).alias(f"cut_{c}") for c in cuts])
 
 
 def judge(counted: DataFrame, cuts: DataFrame) -> DataFrame:
     """``counted`` (with lang and source) with base_failed and kept."""
     joined = counted.join(cuts, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    over = F.lit(False)
-    for r in RATIOS:
-        over = over | F.coalesce(_ratio(r) > F.col(f"cut_{r}"), F.lit(False))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over)
+    out = F.lit(False)
+    for r, (*_, low) in RATIOS.items():
+        out = out | F.coalesce(_ratio(r) > F.col(f"cut_{r}_high"), F.lit(False))
+        if low:
+            out = out | F.coalesce(_ratio(r) < F.col(f"cut_{r}_low"), F.lit(False))
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~out)
 
 
 def _with_groups(docs: DataFrame) -> DataFrame:

@@ -272,6 +272,14 @@ def test_quality_adapts_by_group(spark, docs):
     assert {r["doc_id"] for r in quality.filter_quality(odd).collect()} == kept
 
 
+def test_quality_judges_both_tails(docs):
+    """Stuttered words, and words far shorter or longer than the group's."""
+    rows = [(i, prose(60, i)) for i in range(260)] + [(900, " ".join(w for w in prose(40, 3).split() for _ in range(5))), (901, " ".join("abcdefghij"[i % 10] + "klmnopqrst"[i // 10 % 10] for i in range(90))), (902, " ".join(w * 4 for w in prose(60, 4).split()))]
+    out = {r["doc_id"]: r for r in quality.quality_verdicts(docs(rows)).collect()}
+    assert all(out[i]["kept"] for i in range(260)) and not any(out[i]["base_failed"] or out[i]["kept"] for i in (901, 902))
+    assert not out[900]["kept"]
+
+
 def test_packing_round_trip(docs):
     import zlib
 
