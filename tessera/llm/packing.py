@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 1024
-MAX_PIECE = 128
+MAX_PIECE = 256
 LOT_PIECES = 4096
 TOKENIZER = "byte_bpe_50k"
 #: Words in a worker's cache; later words are encoded anew each time.

@@ -310,6 +310,26 @@ def test_packing_round_trip(docs):
         assert upto <= packing.CAPACITY
 
 
+def test_word_encoder_equals_the_tokenizer():
+    """Random texts of letters, digits, marks, white space of all kinds, other scripts and control characters."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.WordEncoder()
+    r = random.Random(11)
+    alphabets = ["ab cd\n", "aB1.,!?;: \n\t", "éßñ ç'’\u00a0\u3000 中文字", "'sdtmlrve \n", " \n\t\r\x0b\x0c\x1c\x85\u2028a", "🙂👍🏽a \u200d\u0301", "|endoftx<> ", "0123456789 ٣४,.-", "".join(map(chr, range(1, 128)))]
+    words = ["the", "don't", "it's", "I'LL", "foo.bar", "x\ny", "\n\n", "...", "a1b2", "Ünïcödé", "<|endoftext|>", "naïve", "", " "]
+    texts = ["".join(r.choice(a) for _ in range(r.randint(0, 60))) for a in alphabets for _ in range(150)]
+    texts += [" ".join(r.choice(words) for _ in range(r.randint(1, 30))) for _ in range(400)]
+    ids, ends = own.encode_many(texts, 0)
+    start = 0
+    for x, end in zip(texts, ends.tolist(), strict=True):
+        assert ids[start:end].tolist() == [*t.encode(x, add_special_tokens=False).ids, 0], repr(x)
+        start = end
+    assert isinstance(ids, np.ndarray) and start == len(ids)
+
+
 def test_differencing_balances():
     r = random.Random(3)
     sizes = [r.randint(1, 128) for _ in range(600)]
