@@ -76,10 +76,14 @@ register("ordinal_encoder", "orders", ["o_orderkey", "o_orderpriority"], [ts.Ord
 register("frequency_encoder", "part", ["p_partkey", "p_brand"], [ts.FrequencyEncoder(columns=["p_brand"])], "SELECT p_partkey, round(count(*) OVER (PARTITION BY p_brand) / CAST(count(*) OVER () AS DOUBLE), 9) AS p_brand FROM part", round_=["p_brand"], digits=9)
 
 
-@query("hash_encoder", "SELECT p_partkey, 1 AS ones FROM part")
+@query("hash_encoder", "SELECT p_type, 1 AS ones, count(*) AS parts, 1 AS buckets FROM part GROUP BY p_type")
 def _hash(spark, sf_dir):
-    out = ts.Pipeline([ts.HashEncoder(n_features=8, columns=["p_type"])]).fit_transform(load(spark, sf_dir, "part", "p_partkey", "p_type"))
-    return out.select("p_partkey", sum(F.col(f"p_type_hash_{i}") for i in range(8)).alias("ones"))
+    """Every row has one bucket, and every value has one bucket over all its rows."""
+    parts = load(spark, sf_dir, "part", "p_partkey", "p_type").withColumn("kind", F.col("p_type"))
+    out = ts.Pipeline([ts.HashEncoder(n_features=8, columns=["p_type"])]).fit_transform(parts)
+    flags = [F.col(f"p_type_hash_{i}") for i in range(8)]
+    own = out.select("kind", sum(flags).alias("ones"), sum(f * i for i, f in enumerate(flags)).alias("bucket"))
+    return own.groupBy(F.col("kind").alias("p_type")).agg(F.max("ones").alias("ones"), F.count("*").alias("parts"), F.countDistinct("bucket").cast("int").alias("buckets"))
 
 
 # arithmetic
@@ -164,20 +168,25 @@ def _sample_n(spark, sf_dir):
     return out.agg(F.count("*").alias("n"), F.countDistinct("c_custkey").alias("keys"))
 
 
-@query("sample_fraction")
+@query("sample_fraction", "SELECT true AS near, 0 AS strangers, 0 AS repeats FROM (SELECT count(*) FROM orders)")
 def _sample_fraction(spark, sf_dir):
-    return ts.Pipeline([ts.Sample(fraction=0.1, seed=7)]).fit_transform(load(spark, sf_dir, "customer", "c_custkey"))
+    """Its size lies within six standard deviations of what it should be, and all its rows are rows of the table, once."""
+    df = load(spark, sf_dir, "orders", "o_orderkey")
+    out = ts.Pipeline([ts.Sample(fraction=0.1, seed=7)]).fit_transform(df).groupBy(F.col("o_orderkey").alias("key")).agg(F.count("*").alias("n"))
+    both = df.join(out, F.col("o_orderkey") == F.col("key"), "full").agg(F.count("o_orderkey").alias("all"), F.sum("n").alias("taken"), F.count_if(F.col("o_orderkey").isNull()).cast("int").alias("strangers"), F.count_if(F.col("n") > 1).cast("int").alias("repeats"))
+    return both.select((F.abs(F.col("taken") - 0.1 * F.col("all")) <= 6 * F.sqrt(0.09 * F.col("all"))).alias("near"), "strangers", "repeats")
 
 
 # joins and stacking
-_KEYED = "SELECT c_custkey AS k, c_name AS name, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0"
-_ORDERED = "SELECT o_custkey AS k, o_orderkey AS name, o_totalprice AS v FROM orders WHERE o_custkey % 2 = 0"
+# a third of the customers' keys and half of the orders' move out of the other side's range, so that both have rows without a match
+_KEYED = "SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS k, c_name AS name, c_acctbal AS v FROM customer"
+_ORDERED = "SELECT CASE WHEN o_custkey % 2 = 1 THEN -1000000000 - o_custkey ELSE o_custkey END AS k, o_orderkey AS name, o_totalprice AS v FROM orders"
 for _how in ("inner", "left", "right", "outer"):
 
     @query(f"merge_{_how}", f"SELECT l.k, l.name AS name_left, l.v AS v_left, r.name AS name_right, r.v AS v_right FROM ({_KEYED}) l {'FULL OUTER' if _how == 'outer' else _how.upper()} JOIN ({_ORDERED}) r ON l.k = r.k")
     def _merge(spark, sf_dir, how=_how):
-        a = load(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").selectExpr("c_custkey AS k", "c_name AS name", "c_acctbal AS v")
-        b = load(spark, sf_dir, "orders").where("o_custkey % 2 = 0").selectExpr("o_custkey AS k", "o_orderkey AS name", "o_totalprice AS v")
+        a = load(spark, sf_dir, "customer").selectExpr("CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS k", "c_name AS name", "c_acctbal AS v")
+        b = load(spark, sf_dir, "orders").selectExpr("CASE WHEN o_custkey % 2 = 1 THEN -1000000000 - o_custkey ELSE o_custkey END AS k", "o_orderkey AS name", "o_totalprice AS v")
         return ts.merge(a, b, on="k", how=how)
 
 
@@ -238,6 +247,117 @@ def _sql_text(spark, sf_dir):
     return rounded(spark.sql(p.to_sql("ts_sql_text")), "value")
 
 
+# sources, sinks and ways to compose
+_SCALED = _li("({c} - m_{k}) / nullif(d_{k}, 0)", "avg({c}) m_{k}, stddev_pop({c}) d_{k}")
+
+
+@query("scan_path", "SELECT * FROM nation")
+def _scan_path(spark, sf_dir):
+    return ts.resolve_input(f"{sf_dir}/nation.parquet", spark)
+
+
+@query("scan_table", "SELECT * FROM supplier")
+def _scan_table(spark, sf_dir):
+    load(spark, sf_dir, "supplier").createOrReplaceTempView("ts_supplier")
+    return ts.resolve_input("ts_supplier", spark)
+
+
+@query("scan_pandas", "SELECT * FROM region")
+def _scan_pandas(spark, sf_dir):
+    return ts.resolve_input(load(spark, sf_dir, "region").toPandas(), spark)
+
+
+@query("describe", "SELECT * FROM (VALUES ('o_orderkey', 'numeric'), ('o_custkey', 'numeric'), ('o_orderstatus', 'categorical'), ('o_totalprice', 'numeric'), ('o_orderdate', 'temporal'), ('o_orderpriority', 'categorical')) AS t(column_name, category)")
+def _describe(spark, sf_dir):
+    schema = ts.SparkBackend(spark).describe(f"{sf_dir}/orders.parquet")
+    return spark.createDataFrame([(c, schema.column_category(c)) for c in schema], "column_name string, category string")
+
+
+@query("backend_register_fetch", "SELECT count(*) AS n, sum(o_totalprice) > 0 AS positive FROM orders")
+def _backend(spark, sf_dir):
+    with ts.SparkBackend(spark) as backend:
+        name = backend.register(load(spark, sf_dir, "orders"), "ts_orders")
+        row = backend.fetch_one(f"SELECT count(*) AS n, sum(o_totalprice) > 0 AS positive FROM {name}")
+    return spark.createDataFrame([tuple(row)], "n long, positive boolean")
+
+
+@query("sink_numpy", "SELECT count(*) AS n, round(sum(v), 4) AS total FROM (SELECT abs(c_acctbal) AS v FROM customer)")
+def _numpy(spark, sf_dir):
+    out = ts.Pipeline([ts.Abs(columns=["c_acctbal"])]).fit(load(spark, sf_dir, "customer", "c_acctbal"))
+    got = out.to_numpy(load(spark, sf_dir, "customer", "c_acctbal"))
+    return spark.createDataFrame([(len(got), round(float(got.sum()), 4))], "n long, total double")
+
+
+@query("sink_sql_text_joins", "SELECT o_orderkey, n AS o_clerk, c_mktsegment FROM orders JOIN (SELECT o_clerk AS k, CAST(row_number() OVER (ORDER BY o_clerk) - 1 AS INTEGER) AS n FROM (SELECT DISTINCT o_clerk FROM (SELECT concat('c', o_custkey) AS o_clerk FROM orders))) v ON concat('c', o_custkey) = k LEFT JOIN customer ON o_custkey = c_custkey")
+def _sql_joins(spark, sf_dir):
+    """Text that joins a learned table of many categories and a looked-up frame, run as SQL."""
+    df = load(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "concat('c', o_custkey) AS o_clerk")
+    other = load(spark, sf_dir, "customer").selectExpr("c_custkey AS o_custkey", "c_mktsegment")
+    p = ts.Pipeline([ts.OrdinalEncoder(columns=["o_clerk"]), ts.Lookup(other, on="o_custkey"), ts.Drop(columns=["o_custkey"])]).fit(df)
+    df.createOrReplaceTempView("ts_sql_joins")
+    return spark.sql(p.to_sql("ts_sql_joins"))
+
+
+@query("merge_query", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _merge_query(spark, sf_dir):
+    return ts.merge_query(load(spark, sf_dir, "nation"), load(spark, sf_dir, "region"), left_on="n_regionkey", right_on="r_regionkey").select("n_name", "r_name")
+
+
+@query("concat_query", "SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation")
+def _concat_query(spark, sf_dir):
+    return ts.concat_query(load(spark, sf_dir, "region").selectExpr("r_name AS name"), load(spark, sf_dir, "nation").selectExpr("n_name AS name"))
+
+
+@query("deduplicate_last_whole_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def _dedup_last(spark, sf_dir):
+    return ts.Pipeline([ts.Deduplicate(keep="last")]).fit_transform(load(spark, sf_dir, "orders", "o_orderstatus", "o_orderpriority"))
+
+
+class Halved(ts.Transformer):
+    """A step of one's own."""
+
+    default_columns = "numeric"
+    learns = True
+
+    def discover(self, columns, schema, y):
+        return {f"{c}__max": f"max(`{c}`)" for c in columns}
+
+    def expressions(self, columns, schema):
+        return {f"{c}_half": f"(`{c}` / {self.params_[f'{c}__max']} / 2)" for c in columns}
+
+    def outputs(self, columns, schema):
+        return [f"{c}_half" for c in columns]
+
+
+@query("user_step", "SELECT p_partkey, p_size, round(p_size / (SELECT max(p_size) FROM part) / 2, 6) AS p_size_half FROM part")
+def _user_step(spark, sf_dir):
+    return rounded(ts.Pipeline([Halved(columns=["p_size"])]).fit_transform(load(spark, sf_dir, "part", "p_partkey", "p_size")), "p_size_half")
+
+
+@query("added_pipelines", f"WITH e AS (SELECT event_id, {OWN} AS value FROM events), s AS (SELECT avg(value) f, avg(abs(value)) m, stddev_pop(abs(value)) d FROM e) SELECT event_id, round((abs(coalesce(value, f)) - m) / d, 5) AS value FROM e, s")
+def _added(spark, sf_dir):
+    """Steps and pipelines added up; learners of one layer share its input."""
+    df = load(spark, sf_dir, "events").selectExpr(*_NULLED[:2])
+    p = ts.Imputer("mean", columns=["value"]) + ts.Abs(columns=["value"])
+    p += ts.StandardScaler(columns=["value"])
+    return rounded(p.fit_transform(df), "value", digits=5)
+
+
+@query("direct_fit", _SCALED)
+def _direct(spark, sf_dir):
+    df = load(spark, sf_dir, "lineitem", *LI)
+    return rounded(ts.StandardScaler(columns=NUM).fit(df).transform(df), *NUM)
+
+
+@query("copied_and_pickled", SQL["ordinal_encoder"])
+def _pickled(spark, sf_dir):
+    import pickle
+
+    df = load(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority")
+    p = ts.Pipeline([ts.OrdinalEncoder(columns=["o_orderpriority"])]).fit(df)
+    return pickle.loads(pickle.dumps(p.copy())).transform(df)
+
+
 @query("flagship", "WITH s AS (SELECT avg(l_quantity) mq, stddev_pop(l_quantity) dq, min(l_extendedprice) a, max(l_extendedprice) z FROM lineitem) SELECT l_orderkey, round((l_quantity - mq) / dq, 6) AS l_quantity, round((ln(l_extendedprice + 1) - lm) / ld, 6) AS l_extendedprice, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS l_returnflag_a, CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS l_returnflag_n, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS l_returnflag_r FROM lineitem, s, (SELECT avg(ln(l_extendedprice + 1)) lm, stddev_pop(ln(l_extendedprice + 1)) ld FROM lineitem) t")
 def flagship(spark, sf_dir):
     """Log a price, standardise, one-hot: two jobs to learn, one scan to apply."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from tessera.plans import double, ident, lit
 
 UNITS = ("day", "hour", "month", "year", "minute", "second", "week")
@@ -51,9 +54,34 @@ def safe_corr(a: str, b: str) -> str:
     return f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y}))"
 
 
-def quantile(c: str, q: float) -> str:
+@dataclass(frozen=True)
+class Quantile:
+    """An exact quantile of an expression, which the pipeline finds by ranks: a value of it, or between the two middle ones."""
+
+    x: str
+    q: float
+    middle: bool = False
+
+    @property
+    def sql(self) -> str:
+        """The same as one aggregate, whose state holds all distinct values."""
+        return f"median({self.x})" if self.middle else f"percentile_disc({self.q!r}) WITHIN GROUP (ORDER BY {self.x})"
+
+    def ranks(self, n: int) -> tuple[int, int]:
+        """The ranks, from 0, that decide it among n values."""
+        if self.middle:
+            return (n - 1) // 2, n // 2
+        r = max(1, min(n, math.ceil(n * self.q))) - 1
+        return r, r
+
+
+def quantile(c: str, q: float) -> Quantile:
     """Discrete quantile: a value of the column."""
-    return f"percentile_disc({q!r}) WITHIN GROUP (ORDER BY {c})"
+    return Quantile(c, q)
+
+
+def median(c: str) -> Quantile:
+    return Quantile(c, 0.5, middle=True)
 
 
 def norm(columns: list[str], kind: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tessera.errors import InvalidStepError, SchemaError
 from tessera.operators.encoders import _Mapped
-from tessera.plans import Select, ident
+from tessera.plans import Op, Select, ident
 from tessera.schema import Schema, resolve_columns
 from tessera.step import Transformer
 
@@ -52,6 +52,15 @@ class _Composite(Transformer):
             t.params_ = {k.split("|", 1)[1]: v for k, v in self.params_.items() if k.split("|", 1)[0] == n}
             t.sets_ = {k.split("|", 1)[1]: v for k, v in self.sets_.items() if k.split("|", 1)[0] == n}
 
+    @staticmethod
+    def _new(name: str, t: Transformer, schema: Schema, ops: list[Op], have: list[str]) -> dict[str, str]:
+        """A part's expressions; joins that it needs go before them."""
+        if not isinstance(t, _Mapped):
+            return t.expressions(t.columns_, schema)
+        joins, new = t.joined(t.columns_, schema, have, name)
+        ops += joins
+        return new
+
     def clone(self):
         new = super().clone()
         new.transformers = [(x[0], x[1].clone(), *x[2:]) for x in self.transformers]
@@ -87,13 +96,14 @@ class Columns(_Composite):
     def query(self, columns, schema):
         self._hand_out(schema)
         items: dict[str, str] = {}
-        for _, t in self._parts():
-            new, gone = t.expressions(t.columns_, schema), set(t.removes(t.columns_, schema))
+        ops, have = [], list(schema)
+        for name, t in self._parts():
+            new, gone = self._new(name, t, schema, ops, have), set(t.removes(t.columns_, schema))
             items |= {c: new.get(c, ident(c)) for c in t.columns_ if c not in gone}
             items |= {c: e for c, e in new.items() if c not in items}
         if self.remainder == "passthrough":
             items |= {c: ident(c) for c in schema if c not in columns and c not in items}
-        return [Select(list(items.items()))]
+        return [*ops, Select(list(items.items()))]
 
 
 class Union(_Composite):
@@ -113,8 +123,9 @@ class Union(_Composite):
     def query(self, columns, schema):
         self._hand_out(schema)
         items = []
+        ops, have = [], list(schema)
         for name, t in self._parts():
-            new, gone = t.expressions(t.columns_, schema), set(t.removes(t.columns_, schema))
+            new, gone = self._new(name, t, schema, ops, have), set(t.removes(t.columns_, schema))
             items += [(f"{name}_{c}", new.get(c, ident(c))) for c in schema if c not in gone]
             items += [(f"{name}_{c}", e) for c, e in new.items() if c not in schema or c in gone]
-        return [Select(items)]
+        return [*ops, Select(items)]

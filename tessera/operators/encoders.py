@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import FitError, UnseenCategoryError
-from tessera.plans import Join, Select, ident, lit
+from tessera.plans import TEMP, Join, Op, Select, ident, lit
 from tessera.schema import RESERVED
-from tessera.step import Transformer
+from tessera.sources import session
+from tessera.step import Transformer, ValueCounts
 
 #: Categories of a column that become a literal in the plan; more are joined as a table.
 LITERALS = 1000
@@ -24,10 +25,6 @@ def _lookup(c: str, table: dict, to: str, otherwise: str) -> str:
     return f"coalesce(element_at(map({pairs}), CAST({ident(c)} AS STRING)), CAST({otherwise} AS {to}))"
 
 
-def _distinct(c: str):
-    return lambda df: df.select(F.col(ident(c)).cast("string").alias("value")).where("value IS NOT NULL").distinct()
-
-
 class _Encoder(Transformer):
     default_columns = "categorical"
     learns = True
@@ -53,12 +50,6 @@ class _Mapped(_Encoder):
     def otherwise(self) -> str:
         raise NotImplementedError
 
-    def prepare(self, spark):
-        self._spark = spark
-
-    def _learned(self, frame: DataFrame) -> DataFrame:
-        return frame.limit(MOST_CATEGORIES + 1)
-
     def _known(self, c: str) -> dict:
         known = self.table(c)
         if len(known) > MOST_CATEGORIES:
@@ -68,19 +59,21 @@ class _Mapped(_Encoder):
     def expressions(self, columns, schema):
         return {c: _lookup(c, self._known(c), self.kind, self.otherwise()) for c in columns}
 
-    def query(self, columns, schema):
+    def joined(self, columns, schema, have: list[str], tag: str = "") -> tuple[list[Op], dict[str, str]]:
+        """The joins that columns of many categories need, each of which adds to ``have``; and the expressions over these."""
         many = [c for c in columns if len(self._known(c)) > LITERALS and schema.column_category(c) == "categorical"]
-        if not many:
-            return None
-        few = self.expressions([c for c in columns if c not in many], schema)
-        out, have = [], list(schema)
+        new, ops = self.expressions([c for c in columns if c not in many], schema), []
         for c in many:
-            code = f"{RESERVED}code_{c}"
-            table = self._spark.createDataFrame(list(self.table(c).items()), f"{ident(c)} string, {ident(code)} {self.kind.lower()}")
-            out.append(Join(table, f"__learned_{c}", [c], "left", [("l", x, x) for x in have] + [("r", code, code)]))
+            code = f"{RESERVED}code_{tag}_{c}"
+            table = session().createDataFrame(list(self.table(c).items()), f"{ident(c)} string, {ident(code)} {self.kind.lower()}")
+            ops.append(Join(table, f"{TEMP}learned", [c], "left", [("l", x, x) for x in have] + [("r", code, code)]))
             have.append(code)
-        pick = {c: f"coalesce({ident(f'{RESERVED}code_{c}')}, CAST({self.otherwise()} AS {self.kind}))" for c in many}
-        return [*out, Select([(c, pick.get(c, few.get(c, ident(c)))) for c in schema])]
+            new[c] = f"coalesce({ident(code)}, CAST({self.otherwise()} AS {self.kind}))"
+        return ops, new
+
+    def query(self, columns, schema):
+        ops, new = self.joined(columns, schema, list(schema))
+        return [*ops, Select([(c, new.get(c, ident(c))) for c in schema])] if ops else None
 
 
 class OneHotEncoder(_Encoder):
@@ -90,7 +83,7 @@ class OneHotEncoder(_Encoder):
         self.max_categories, self.columns = max_categories, columns
 
     def discover_sets(self, columns, schema, y):
-        return {c: (lambda df, c=c: _distinct(c)(df).orderBy("value").limit(self.max_categories)) for c in columns}
+        return {c: ValueCounts(c, self.max_categories, ordered=True) for c in columns}
 
     def categories(self, c: str) -> list[str]:
         return sorted(r["value"] for r in self.sets_[c])[: self.max_categories]
@@ -113,7 +106,7 @@ class OrdinalEncoder(_Mapped):
         self.categories, self.handle_unknown, self.unknown_value, self.columns = categories, handle_unknown, unknown_value, columns
 
     def discover_sets(self, columns, schema, y):
-        return {c: (lambda df, c=c: self._learned(_distinct(c)(df))) for c in columns}
+        return {c: ValueCounts(c, MOST_CATEGORIES + 1) for c in columns}
 
     def table(self, c):
         own = self.categories.get(c) if isinstance(self.categories, dict) else None
@@ -135,7 +128,7 @@ class FrequencyEncoder(_Mapped):
         return {"total": F.count(F.lit(1))} if columns else {}
 
     def discover_sets(self, columns, schema, y):
-        return {c: (lambda df, c=c: self._learned(df.select(F.col(ident(c)).cast("string").alias("value")).where("value IS NOT NULL").groupBy("value").count())) for c in columns}
+        return {c: ValueCounts(c, MOST_CATEGORIES + 1) for c in columns}
 
     def table(self, c):
         total = self.params_.get("total") or 1

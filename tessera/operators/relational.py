@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.errors import MissingColumnError, SchemaError
-from tessera.plans import Join, ident
+from tessera.errors import MissingColumnError, NotFittedError, SchemaError
+from tessera.plans import TEMP, Join, ident
 from tessera.sources import resolve_input, session
 from tessera.step import Transformer
 
@@ -95,12 +95,16 @@ class Lookup(Transformer):
                 raise MissingColumnError(k, self._df.columns)
 
     def query(self, columns, schema):
+        if self._df is None:
+            if not isinstance(self.source, str):
+                raise NotFittedError("a looked-up frame doesn't travel with a pickle; name a table or a path")
+            self._df = resolve_input(self.source, session())
         keys = _keys(self.on)
         for k in keys:
             if k not in schema:
                 raise MissingColumnError(k, schema.columns)
         wanted = [c for c in (self.select or self._df.columns) if c not in keys]
         items = [("l", c, c) for c in schema] + [("r", c, c + self.suffix if c in schema else c) for c in wanted]
-        name = self.source if isinstance(self.source, str) else "__lookup__"
+        name = f"{TEMP}lookup"
         other = self._df.select(*[F.col(ident(c)) for c in dict.fromkeys([*keys, *wanted])])
         return [Join(other, name, keys, self.how, items)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.functions import divided, norm, quantile
+from tessera.functions import divided, median, norm, quantile
 from tessera.plans import double, ident, lit
 from tessera.step import Transformer
 
@@ -64,8 +64,7 @@ class MaxAbsScaler(_Scaler):
 class RobustScaler(_Scaler):
     """Less the median, over a range of discrete quantiles.
 
-    ``accuracy`` swaps the exact quantiles, whose state holds a column's distinct values, for
-    mergeable sketches of that accuracy: choose it for very large frames.
+    The quantiles are exact; ``accuracy`` swaps them for mergeable sketches of that accuracy, which saves a scan.
     """
 
     def __init__(self, *, with_centering: bool = True, with_scaling: bool = True, quantile_range: tuple = (25.0, 75.0), columns=None, accuracy: int | None = None):
@@ -77,7 +76,7 @@ class RobustScaler(_Scaler):
         out = {}
         for c in columns:
             if self.with_centering:
-                out[f"{c}__median"] = at(_x(c), 0.5) if self.accuracy else f"median({_x(c)})"
+                out[f"{c}__median"] = at(_x(c), 0.5) if self.accuracy else median(_x(c))
             if self.with_scaling:
                 out |= {f"{c}__q{k}": at(_x(c), q / 100) for k, q in enumerate(self.quantile_range)}
         return out
@@ -133,7 +132,7 @@ class Imputer(Transformer):
         for c in columns:
             how = self._how(c, schema)
             if how in ("mean", "median"):
-                out[f"{c}__value"] = f"{'avg' if how == 'mean' else how}({_x(c)})"
+                out[f"{c}__value"] = f"avg({_x(c)})" if how == "mean" else median(_x(c))
             elif how == "most_frequent":
                 out[f"{c}__value"] = f"mode({ident(c)}, true)"
         return out

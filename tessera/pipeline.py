@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import copy as _copy
+import uuid
 
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.errors import FitError, FrozenError, InvalidStepError, NotFittedError
-from tessera.plans import Op, Select, ident, render
+from tessera.errors import CompilationError, FitError, FrozenError, InvalidStepError, NotFittedError, StaticViolationError
+from tessera.functions import Quantile
+from tessera.plans import TEMP, Join, Op, Select, ident, render
+from tessera.quantiles import QuantileSearch
 from tessera.schema import Schema
 from tessera.sources import resolve_input
-from tessera.step import Transformer, as_column
+from tessera.step import Transformer, ValueCounts, as_column
 
 FIT_MODES = ("layered", "sequential")
 #: Aggregates per job; more are learned by further jobs over the same frame.
@@ -46,6 +51,28 @@ def _renumbered(pairs) -> list[tuple[str, Transformer]]:
     return out
 
 
+def _unique(op: Op) -> Op:
+    """Joins of frames without a name get one that no other has."""
+    if isinstance(op, Join) and op.name.startswith(TEMP) and op.name.count("_") == TEMP.count("_"):
+        op.name += f"_{uuid.uuid4().hex}"
+    return op
+
+
+class _value_counts:  # noqa: N801
+    """Values of columns, as strings, with their counts: one aggregation over all columns, kept while sets are taken from it."""
+
+    def __init__(self, df: DataFrame, columns: list[str]):
+        self.columns = columns
+        each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(ident(c)).cast("string").alias("value")) for i, c in enumerate(columns)]) if columns else F.array(F.struct(F.lit(0).alias("i"), F.lit(None).cast("string").alias("value")))
+        self.frame = df.select(F.explode(each).alias("e")).select("e.*").where("value IS NOT NULL").groupBy("i", "value").count()
+        if columns:
+            self.frame = self.frame.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def of(self, what: ValueCounts) -> DataFrame:
+        own = self.frame.where(F.col("i") == self.columns.index(what.column)).select("value", "count")
+        return (own.orderBy("value") if what.ordered else own).limit(what.most)
+
+
 class Pipeline:
     """Steps in order.
 
@@ -106,8 +133,9 @@ class Pipeline:
                     waiting.clear()
                 schema = Schema.of(seen)
                 step.columns_, step.input_schema_ = step.route(schema), schema
-                for op in step.ops(schema):
-                    seen = op.apply(seen)
+                if step.discover(step.columns_, schema, y) or step.discover_sets(step.columns_, schema, y):
+                    raise StaticViolationError(f"{type(step).__name__} has something to learn, but doesn't say that it learns")
+                seen = self._finish(step, seen, [])
                 late.append(step)
         settle()
         self._ops, self.output_schema_ = ops, Schema.of(now)
@@ -117,32 +145,59 @@ class Pipeline:
     def _finish(step: Transformer, df: DataFrame, ops: list[Op]) -> DataFrame:
         schema = Schema.of(df)
         step.input_schema_ = schema
-        step.ops_ = step.ops(schema)
-        for op in step.ops_:
-            df = op.apply(df)
+        step.ops_ = [_unique(op) for op in step.ops(schema)]
+        try:
+            for op in step.ops_:
+                df = op.apply(df)
+        except AnalysisException as e:
+            raise CompilationError(f"{type(step).__name__} can't be put into a plan: {e.getMessage().splitlines()[0]}") from e
         ops += step.ops_
         step.output_schema_ = Schema.of(df)
         return df
 
     @staticmethod
     def _learn(df: DataFrame, waiting) -> None:
-        """All scalar aggregates in one job, and one job for each learned set."""
-        aggs = []
+        """All scalar aggregates in one job, exact quantiles by one more, and all value counts by one."""
+        aggs, quantiles = [], []
         for i, (step, cols, schema, y) in enumerate(waiting):
             for name, agg in step.discover(cols, schema, y).items():
-                aggs.append((i, name, as_column(agg)))
-        for at in range(0, len(aggs), AGGREGATES_PER_JOB):
-            part = aggs[at : at + AGGREGATES_PER_JOB]
-            row = df.agg(*[a.alias(f"a{k}") for k, (_, _, a) in enumerate(part)]).first()
-            for k, (i, name, _) in enumerate(part):
-                waiting[i][0].params_[name] = row[k]
-        for step, cols, schema, y in waiting:
-            for name, make in step.discover_sets(cols, schema, y).items():
-                step.sets_[name] = [r.asDict() for r in make(df).collect()]
+                if isinstance(agg, Quantile):
+                    quantiles.append((i, name, agg))
+                else:
+                    aggs.append((i, name, as_column(agg)))
+        search = QuantileSearch([a for *_, a in quantiles])
+        columns = [a for _, _, a in aggs] + search.first()
+        values: list = []
+        for at in range(0, len(columns), AGGREGATES_PER_JOB):
+            part = columns[at : at + AGGREGATES_PER_JOB]
+            values += df.agg(*[a.alias(f"a{k}") for k, a in enumerate(part)]).first()
+        for (i, name, _), value in zip(aggs, values, strict=False):
+            waiting[i][0].params_[name] = value
+        for (i, name, _), value in zip(quantiles, search.run(df, values[len(aggs) :]), strict=True):
+            waiting[i][0].params_[name] = value
+        sets = [(step, name, what) for step, cols, schema, y in waiting for name, what in step.discover_sets(cols, schema, y).items()]
+        counts = _value_counts(df, list(dict.fromkeys(w.column for *_, w in sets if isinstance(w, ValueCounts))))
+        for step, name, what in sets:
+            step.sets_[name] = [r.asDict() for r in (counts.of(what) if isinstance(what, ValueCounts) else what(df)).collect()]
+        counts.frame.unpersist()
+
+    def restore(self) -> Pipeline:
+        """The operations of fitted steps anew, as after a pickle, which doesn't hold them."""
+        ops = [op for _, step in self.steps for op in step.ops(step.input_schema_)]
+        self._ops = [_unique(op) for op in ops]
+        self.input_schema_, self.output_schema_ = self.steps[0][1].input_schema_, self.steps[-1][1].output_schema_
+        return self
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_ops"} | {"spark": None, "_was_fitted": self.__sklearn_is_fitted__()}
 
     def _fitted(self) -> list[Op]:
         if getattr(self, "_ops", None) is None:
-            raise NotFittedError("the pipeline is not fitted")
+            if not self.__dict__.pop("_was_fitted", False):
+                raise NotFittedError("the pipeline is not fitted")
+            schemas = self.input_schema_, self.output_schema_
+            self.restore()
+            self.input_schema_, self.output_schema_ = schemas
         return self._ops
 
     def _first(self) -> Select:
@@ -172,8 +227,15 @@ class Pipeline:
             return pdf.to_numpy(dtype=object)
 
     def to_sql(self, table: str = "__input__") -> str:
-        """Spark SQL text of the fitted pipeline: a CTE for each step."""
-        return render([self._first(), *self._fitted()], table)
+        """Spark SQL text of the fitted pipeline: a CTE for each step.
+
+        Learned tables and looked-up frames that it joins become temporary views of the session, under names of their own.
+        """
+        ops = self._fitted()
+        for op in ops:
+            if isinstance(op, Join) and op.name.startswith(TEMP):
+                op.other.createOrReplaceTempView(op.name)
+        return render([self._first(), *ops], table)
 
     def freeze(self) -> Pipeline:
         self._fitted()
@@ -206,12 +268,12 @@ class Pipeline:
         return Pipeline([(n, s.clone()) for n, s in self.steps], spark=self.spark, fit_mode=self.fit_mode)
 
     def copy(self) -> Pipeline:
-        new = _copy.copy(self)
-        new.steps = [(n, _copy.copy(s)) for n, s in self.steps]
+        new = type(self).__new__(type(self))
+        new.__dict__ = self.__dict__ | {"steps": [(n, s.copy()) for n, s in self.steps]}
         return new
 
     def __sklearn_is_fitted__(self) -> bool:
-        return getattr(self, "_ops", None) is not None
+        return getattr(self, "_ops", None) is not None or self.__dict__.get("_was_fitted", False)
 
     def __add__(self, other) -> Pipeline:
         theirs = other.steps if isinstance(other, Pipeline) else [("step_00", other)]

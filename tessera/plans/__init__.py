@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: How names of views begin that ``to_sql`` makes for learned tables and looked-up frames.
+TEMP = "__tessera_"
+
+
 def ident(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -125,6 +129,9 @@ class Join(Op):
         on = [F.col(f"l.{ident(k)}") == F.col(f"r.{ident(k)}") for k in self.keys]
         return left.join(right, on, self.how).select(*[F.col(f"{side}.{ident(c)}").alias(n) for side, c, n in self.items])
 
+    def __deepcopy__(self, memo) -> Join:
+        return Join(self.other, self.name, list(self.keys), self.how, list(self.items))
+
     def sql(self, source):
         cols = ", ".join(f"{side}.{ident(c)} AS {ident(n)}" for side, c, n in self.items)
         on = " AND ".join(f"l.{ident(k)} = r.{ident(k)}" for k in self.keys)

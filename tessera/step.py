@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import copy as _copy
 import inspect
+import warnings
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +16,23 @@ from tessera.plans import Op, Select, ident
 from tessera.schema import Schema, resolve_columns
 
 
+@dataclass(frozen=True)
+class ValueCounts:
+    """A column's values as strings, with their counts: all, or the first ``most`` by name."""
+
+    column: str
+    most: int
+    ordered: bool = False
+
+
 class Transformer:
     """A step. Subclasses override some of:
 
-    ``discover``      scalar aggregates to learn: name -> Column or SQL text
-    ``discover_sets`` row sets to learn: name -> function of the frame (small results)
+    ``discover``      scalar aggregates to learn: name -> Column, SQL text or Quantile
+    ``discover_sets`` row sets to learn: name -> ValueCounts, or a function of the frame (small results)
     ``expressions``   SQL text by output column; other columns pass through
     ``removes``       input columns that don't pass through
+    ``outputs``       the names ``expressions`` may add, if declared; others are left out with a warning
     ``query``         a list of operations instead of ``expressions``
     """
 
@@ -37,7 +49,7 @@ class Transformer:
     def discover(self, columns: list[str], schema: Schema, y: str | None) -> dict[str, Column | str]:
         return {}
 
-    def discover_sets(self, columns: list[str], schema: Schema, y: str | None) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    def discover_sets(self, columns: list[str], schema: Schema, y: str | None) -> dict[str, ValueCounts | Callable[[DataFrame], DataFrame]]:
         return {}
 
     def expressions(self, columns: list[str], schema: Schema) -> dict[str, str]:
@@ -46,6 +58,9 @@ class Transformer:
     def removes(self, columns: list[str], schema: Schema) -> list[str]:
         return []
 
+    def outputs(self, columns: list[str], schema: Schema) -> list[str] | None:
+        return None
+
     def query(self, columns: list[str], schema: Schema) -> list[Op] | None:
         return None
 
@@ -71,7 +86,10 @@ class Transformer:
         own = self.query(cols, schema)
         if own is not None:
             return own
-        new, gone = self.expressions(cols, schema), set(self.removes(cols, schema))
+        new, gone, declared = self.expressions(cols, schema), set(self.removes(cols, schema)), self.outputs(cols, schema)
+        if declared is not None and (odd := [c for c in new if c not in declared and c not in schema]):
+            warnings.warn(f"{type(self).__name__}.expressions adds {odd}, which its outputs don't declare; they are left out", UserWarning, stacklevel=2)
+            new = {c: e for c, e in new.items() if c not in odd}
         items = [(c, new.get(c, ident(c))) for c in schema if c not in gone]
         items += [(c, e) for c, e in new.items() if c not in schema or c in gone]
         return [Select(items)]
@@ -100,6 +118,15 @@ class Transformer:
     def copy(self) -> Transformer:
         return _copy.deepcopy(self)
 
+    def __deepcopy__(self, memo) -> Transformer:
+        new = memo[id(self)] = _copy.copy(self)
+        new.__dict__ = {k: v if isinstance(v, DataFrame) else _copy.deepcopy(v, memo) for k, v in self.__dict__.items() if k != "_pipeline"}
+        return new
+
+    def __getstate__(self) -> dict:
+        """What was learned, without plans and frames, which belong to a session."""
+        return {k: None if isinstance(v, DataFrame) else v for k, v in self.__dict__.items() if k not in ("ops_", "_pipeline")}
+
     def __sklearn_is_fitted__(self) -> bool:
         return hasattr(self, "columns_")
 
@@ -123,6 +150,8 @@ class Transformer:
         from tessera.pipeline import Pipeline
 
         self._pipeline = getattr(self, "_pipeline", None) or Pipeline([self])
+        if hasattr(self, "output_schema_") and not self._pipeline.__sklearn_is_fitted__():
+            self._pipeline.restore()
         return self._pipeline
 
     def fit(self, data, y: str | None = None, *, spark=None) -> Transformer:
