@@ -9,6 +9,7 @@ decide balance, not results. Orders by several columns, or by text, take the pla
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -47,8 +48,17 @@ class GlobalWindow(Op):
 
     def apply(self, df: DataFrame) -> DataFrame:
         bucket, first, place, block = (RESERVED + n for n in ("bucket", "first", "place", "block"))
-        cut = f"CASE WHEN {self.key} IS NULL THEN {len(self.bounds) + 1} ELSE size(filter(array({', '.join(map(lit, self.bounds))}), b -> b < {self.key})) END"
-        cut_df = df.withColumn(bucket, F.expr(cut))
+        # a search in two steps, over the last bound of each run and then within the run
+        step = max(1, math.isqrt(len(self.bounds)))
+        runs = [self.bounds[i : i + step] for i in range(0, len(self.bounds), step)]
+        array = lambda xs: f"array({', '.join(map(lit, xs))})"
+        run = RESERVED + "run"
+        below = f"CASE WHEN {self.key} IS NULL THEN -1 ELSE size(filter({array([r[-1] for r in runs])}, b -> b < {self.key})) END"
+        within = f"size(filter(get(array({', '.join(map(array, runs))}), {ident(run)}), b -> b < {self.key}))"
+        cut = f"CASE WHEN {ident(run)} < 0 THEN {len(self.bounds) + 1} WHEN {ident(run)} = {len(runs)} THEN {len(self.bounds)} ELSE {step} * {ident(run)} + {within} END"
+        if not runs:  # the order column has no value
+            below, cut = f"CASE WHEN {self.key} IS NULL THEN -1 ELSE 0 END", f"CASE WHEN {ident(run)} < 0 THEN 1 ELSE 0 END"
+        cut_df = df.withColumn(run, F.expr(below)).withColumn(bucket, F.expr(cut)).drop(run)
         dense = any("dense_rank" in e for e in self.new.values())
         size = F.count_distinct(F.struct(ident(self.order))) if dense else F.count(F.lit(1))
         sizes = cut_df.groupBy(bucket).agg(size.alias(first))

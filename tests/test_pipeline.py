@@ -136,6 +136,14 @@ def test_global_windows_in_blocks(spark):
         assert got == {r["id"]: r["x"] for r in spark.sql(f"SELECT id, {sql} AS x FROM gw").collect()}, sql
 
 
+def test_global_window_over_nulls(spark):
+    df = spark.range(5).selectExpr("CAST(NULL AS DOUBLE) AS a", "id")
+    out = ts.Pipeline([ts.RowNumber(order_by="a")]).fit_transform(df)
+    assert sorted(r["row_number"] for r in out.collect()) == [1, 2, 3, 4, 5]
+    p = ts.Pipeline([ts.RowNumber(order_by="a")]).fit(df)
+    assert sorted((r["a"], r["row_number"]) for r in p.transform(frame(spark, [(3.0, 1), (1.0, 2)], "a double, id long")).collect()) == [(1.0, 1), (3.0, 2)]
+
+
 def test_selection(spark):
     df = frame(spark, [(float(i), 2.0 * i, float(i * i % 7), 3.0 * i) for i in range(1, 6)], "a double, b double, c double, y double")
     assert ts.Pipeline([ts.DropCorrelated(columns=["a", "b", "c"])]).fit_transform(df).columns == ["a", "c", "y"]
