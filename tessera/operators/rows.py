@@ -134,6 +134,7 @@ class TargetTransform(Transformer):
         if self.lambda_ != "auto":
             return float(self.lambda_)
         m = abs(self.params_[f"{c}__mean_log"] or 0.0)
+        # fixed values of the estimate, which results have to match: 0.1, and 1 / (1 + m) to four places
         return 0.0 if m < 0.1 else round(1 / (1 + m), 4)
 
     def expressions(self, columns, schema):

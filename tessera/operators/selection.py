@@ -51,6 +51,7 @@ class DropCorrelated(_Selector):
         return {str(i): safe_corr(ident(a), ident(b)) for i, (a, b) in enumerate(self._pairs)}
 
     def dropped(self):
+        # a fixed rule that results have to match: the column in most pairs goes first, of equals the last by name
         left = [p for i, p in enumerate(self._pairs) if (r := self.params_[str(i)]) is not None and abs(r) > self.threshold]
         gone: set[str] = set()
         while left:

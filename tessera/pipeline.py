@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.errors import CompilationError, FitError, FrozenError, InvalidStepError, NotFittedError, StaticViolationError
+from tessera.errors import ClassificationError, CompilationError, FitError, FrozenError, InvalidStepError, NotFittedError, StaticViolationError
 from tessera.functions import Quantile
 from tessera.plans import TEMP, Join, Op, Select, ident, render
 from tessera.quantiles import QuantileSearch
@@ -160,7 +160,10 @@ class Pipeline:
         """All scalar aggregates in one job, exact quantiles by one more, and all value counts by one."""
         aggs, quantiles = [], []
         for i, (step, cols, schema, y) in enumerate(waiting):
-            for name, agg in step.discover(cols, schema, y).items():
+            wanted = step.discover(cols, schema, y)
+            if not isinstance(wanted, dict):
+                raise ClassificationError(f"{type(step).__name__}.discover gives {type(wanted).__name__}, not what to learn by name")
+            for name, agg in wanted.items():
                 if isinstance(agg, Quantile):
                     quantiles.append((i, name, agg))
                 else:
