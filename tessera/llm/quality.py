@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialize
+from tessera.llm._common import materialize, release
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -174,19 +174,29 @@ def _with_groups(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.col("doc.lang").alias("lang"), F.col("doc.source").alias("source"))
 
 
+def _cuts(counted: DataFrame) -> DataFrame:
+    sketches = materialize(sketch(counted), "sketches")
+    cuts = materialize(thresholds(sketches), "cuts")
+    release(sketches)
+    return cuts
+
+
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed, kept. The counts are written once and read twice."""
     slim = docs.select(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text"))
     counted = materialize(_with_groups(with_counts(slim).withColumn("doc", F.col("doc").dropFields("text"))).select(F.col("doc.doc_id").alias("doc_id"), "lang", "source", *COUNTS), "counts")
-    sketches = materialize(sketch(counted), "sketches")
-    return judge(counted, materialize(thresholds(sketches).coalesce(1), "cuts"))
+    cuts = _cuts(counted)
+    out = materialize(judge(counted, cuts), "verdicts")
+    release(counted, cuts)
+    return out
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns of ``docs``. Texts are measured again rather than shuffled."""
     slim = docs.select("lang", "source", "text")
     counted = materialize(_with_groups(with_counts(slim).withColumn("doc", F.col("doc").dropFields("text"))).select("lang", "source", *COUNTS), "counts")
-    cuts = materialize(thresholds(materialize(sketch(counted), "sketches")).coalesce(1), "cuts")
+    cuts = _cuts(counted)
+    release(counted)
     return judge(_with_groups(with_counts(docs)), cuts).where("kept").select([F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 

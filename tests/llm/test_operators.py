@@ -528,6 +528,19 @@ def test_null_and_repeated_ids(docs, spark):
     assert decontaminate.find_leaks(d, spark.createDataFrame([(None, "x"), (1, None)], "item_id long, text string")).count() == 0
 
 
+def test_very_long_texts(docs):
+    """Texts beyond what is handled at a time, with passages across the border."""
+    words = [f"w{i:06d}" for i in range(debruijn.SCHEME.chunk + 5000)]
+    border = debruijn.SCHEME.chunk
+    rows = [(1, " ".join(words)), (2, "own words " + " ".join(words[border - 300 : border + 300]) + " own end"), (3, " ".join(["x", *words[:40], "y", *words[-40:]]))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in debruijn.kept_digest(debruijn.remove_repeats(docs(rows))).collect()}
+    assert got == {1: (len(words), 0), 2: (604, 600), 3: (82, 80)}
+    text, border = rows[0][1], suffixes.SCHEME.chunk
+    rows = [(1, text), (2, "#" * 9 + text[border - 400 : border + 400] + "#" * 9), (3, text[2 * border - 60 : 2 * border + 60] + "?" + text[-100:])]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.kept_digest(suffixes.remove_repeats(docs(rows))).collect()}
+    assert got == {1: (len(text), 0, 0), 2: (818, 800, 1), 3: (221, 220, 2)}
+
+
 def test_ids_with_several_texts(docs):
     """Rows that share an id but not the text: each is judged by its own text."""
     a, b = prose(40, 11), prose(45, 12)
