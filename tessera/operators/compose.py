@@ -51,6 +51,7 @@ class _Composite(Transformer):
         for n, t in self._parts():
             t.params_ = {k.split("|", 1)[1]: v for k, v in self.params_.items() if k.split("|", 1)[0] == n}
             t.sets_ = {k.split("|", 1)[1]: v for k, v in self.sets_.items() if k.split("|", 1)[0] == n}
+            t.tables_ = {k.split("|", 1)[1]: v for k, v in self.tables_.items() if k.split("|", 1)[0] == n}
 
     @staticmethod
     def _new(name: str, t: Transformer, schema: Schema, ops: list[Op], have: list[str]) -> dict[str, str]:

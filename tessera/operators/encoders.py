@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.errors import FitError, UnseenCategoryError
-from tessera.plans import TEMP, Join, Op, Select, ident, lit
+from tessera.errors import NotFittedError, UnseenCategoryError
+from tessera.plans import TEMP, Join, Op, Select, double, ident, lit
 from tessera.schema import RESERVED
 from tessera.sources import session
 from tessera.step import Transformer, ValueCounts
 
 #: Categories of a column that become a literal in the plan; more are joined as a table.
 LITERALS = 1000
-#: Categories of a column at most; what fit learns is held by the driver.
-MOST_CATEGORIES = 1_000_000
+#: Categories of a column that the driver holds at most; more stay a table of the cluster.
+DRIVER_CATEGORIES = 100_000
 
 
 def _lookup(c: str, table: dict, to: str, otherwise: str) -> str:
@@ -33,8 +33,12 @@ class _Encoder(Transformer):
     def check_unseen(self, df: DataFrame) -> None:
         """Raise if a column has values that fit hasn't seen; runs a job."""
         for c in self.columns_:
-            known = [r["value"] for r in self.sets_[c]]
-            found = df.select(F.col(ident(c)).cast("string").alias("v")).where(F.col("v").isNotNull() & ~F.col("v").isin(known)).distinct().limit(20).collect()
+            values = df.select(F.col(ident(c)).cast("string").alias("v")).where("v IS NOT NULL").distinct()
+            if c in self.tables_:
+                unseen = values.join(self.tables_[c], F.col("v") == F.col("value"), "left_anti")
+            else:
+                unseen = values.where(~F.col("v").isin([r["value"] for r in self.sets_[c]]))
+            found = unseen.limit(20).collect()
             if found:
                 raise UnseenCategoryError(c, [r["v"] for r in found])
 
@@ -50,23 +54,29 @@ class _Mapped(_Encoder):
     def otherwise(self) -> str:
         raise NotImplementedError
 
-    def _known(self, c: str) -> dict:
-        known = self.table(c)
-        if len(known) > MOST_CATEGORIES:
-            raise FitError(f"column {c!r} has over {MOST_CATEGORIES} categories; HashEncoder takes any number")
-        return known
+    def code(self) -> str:
+        """The number in a table (value, count, place), as SQL text."""
+        raise NotImplementedError
 
     def expressions(self, columns, schema):
-        return {c: _lookup(c, self._known(c), self.kind, self.otherwise()) for c in columns}
+        return {c: _lookup(c, self.table(c), self.kind, self.otherwise()) for c in columns}
+
+    def _codes(self, c: str, key: str, code: str) -> DataFrame:
+        if c in self.tables_:
+            return self.tables_[c].select(F.col("value").alias(key), F.expr(self.code()).alias(code))
+        return session().createDataFrame(list(self.table(c).items()), f"{ident(key)} string, {ident(code)} {self.kind.lower()}")
 
     def joined(self, columns, schema, have: list[str], tag: str = "") -> tuple[list[Op], dict[str, str]]:
         """The joins that columns of many categories need, each of which adds to ``have``; and the expressions over these."""
-        many = [c for c in columns if len(self._known(c)) > LITERALS and schema.column_category(c) == "categorical"]
+        for c in columns:
+            if c not in self.tables_ and c not in self.sets_:
+                raise NotFittedError(f"the table of the categories of {c!r} doesn't travel with a pickle")
+        many = [c for c in columns if c in self.tables_ or len(self.table(c)) > LITERALS]
         new, ops = self.expressions([c for c in columns if c not in many], schema), []
         for c in many:
-            code = f"{RESERVED}code_{tag}_{c}"
-            table = session().createDataFrame(list(self.table(c).items()), f"{ident(c)} string, {ident(code)} {self.kind.lower()}")
-            ops.append(Join(table, f"{TEMP}learned", [c], "left", [("l", x, x) for x in have] + [("r", code, code)]))
+            key, code = f"{RESERVED}key_{tag}_{c}", f"{RESERVED}code_{tag}_{c}"
+            ops.append(Select([(x, ident(x)) for x in have] + [(key, f"CAST({ident(c)} AS STRING)")]))
+            ops.append(Join(self._codes(c, key, code), f"{TEMP}learned", [key], "left", [("l", x, x) for x in have] + [("r", code, code)]))
             have.append(code)
             new[c] = f"coalesce({ident(code)}, CAST({self.otherwise()} AS {self.kind}))"
         return ops, new
@@ -83,7 +93,7 @@ class OneHotEncoder(_Encoder):
         self.max_categories, self.columns = max_categories, columns
 
     def discover_sets(self, columns, schema, y):
-        return {c: ValueCounts(c, self.max_categories, ordered=True) for c in columns}
+        return {c: ValueCounts(c, self.max_categories) for c in columns}
 
     def categories(self, c: str) -> list[str]:
         return sorted(r["value"] for r in self.sets_[c])[: self.max_categories]
@@ -106,12 +116,15 @@ class OrdinalEncoder(_Mapped):
         self.categories, self.handle_unknown, self.unknown_value, self.columns = categories, handle_unknown, unknown_value, columns
 
     def discover_sets(self, columns, schema, y):
-        return {c: ValueCounts(c, MOST_CATEGORIES + 1) for c in columns}
+        return {c: ValueCounts(c, DRIVER_CATEGORIES, whole=True) for c in columns}
 
     def table(self, c):
         own = self.categories.get(c) if isinstance(self.categories, dict) else None
         return {v: i for i, v in enumerate(own or sorted(r["value"] for r in self.sets_[c]))}
 
+    def code(self):
+        return "CAST(place AS INT)"
+
     def otherwise(self):
         return lit(self.unknown_value) if self.handle_unknown == "use_encoded_value" else "NULL"
 
@@ -128,12 +141,15 @@ class FrequencyEncoder(_Mapped):
         return {"total": F.count(F.lit(1))} if columns else {}
 
     def discover_sets(self, columns, schema, y):
-        return {c: ValueCounts(c, MOST_CATEGORIES + 1) for c in columns}
+        return {c: ValueCounts(c, DRIVER_CATEGORIES, whole=True) for c in columns}
 
     def table(self, c):
         total = self.params_.get("total") or 1
         return {r["value"]: float(r["count"]) / (total if self.normalize else 1) for r in self.sets_[c]}
 
+    def code(self):
+        return f"CAST(count AS DOUBLE) / {double((self.params_.get('total') or 1) if self.normalize else 1)}"
+
     def otherwise(self):
         return lit(float(self.fill_value))
 

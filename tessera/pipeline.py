@@ -6,7 +6,7 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import ClassificationError, CompilationError, FitError, FrozenError, InvalidStepError, NotFittedError, StaticViolationError
@@ -68,9 +68,26 @@ class _value_counts:  # noqa: N801
         if columns:
             self.frame = self.frame.persist(StorageLevel.MEMORY_AND_DISK)
 
+    def _own(self, column: str) -> DataFrame:
+        return self.frame.where(F.col("i") == self.columns.index(column)).select("value", "count")
+
     def of(self, what: ValueCounts) -> DataFrame:
-        own = self.frame.where(F.col("i") == self.columns.index(what.column)).select("value", "count")
-        return (own.orderBy("value") if what.ordered else own).limit(what.most)
+        return self._own(what.column) if what.whole else self._own(what.column).orderBy("value").limit(what.most)
+
+    def size(self, column: str) -> int:
+        return self._own(column).count()
+
+    def numbered(self, column: str) -> DataFrame:
+        """(value, count, place), kept by the executors: ranges of values are numbered side by side, after what is before them."""
+        ranged = self._own(column).repartitionByRange("value").sortWithinPartitions("value")
+        ranged = ranged.select("value", "count", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")).persist(StorageLevel.MEMORY_AND_DISK)
+        # a row for each partition, so this window and the broadcast have a fixed bound
+        parts = ranged.groupBy(F.col("part").alias("of")).agg(F.min("id").alias("low"), F.count("*").alias("n"))
+        parts = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        out = ranged.join(F.broadcast(parts), F.col("part") == F.col("of")).select("value", "count", (F.col("before") + F.col("id") - F.col("low")).alias("place")).persist(StorageLevel.MEMORY_AND_DISK)
+        out.count()
+        ranged.unpersist()
+        return out
 
 
 class Pipeline:
@@ -181,7 +198,10 @@ class Pipeline:
         sets = [(step, name, what) for step, cols, schema, y in waiting for name, what in step.discover_sets(cols, schema, y).items()]
         counts = _value_counts(df, list(dict.fromkeys(w.column for *_, w in sets if isinstance(w, ValueCounts))))
         for step, name, what in sets:
-            step.sets_[name] = [r.asDict() for r in (counts.of(what) if isinstance(what, ValueCounts) else what(df)).collect()]
+            if isinstance(what, ValueCounts) and what.whole and counts.size(what.column) > what.most:
+                step.tables_[name] = counts.numbered(what.column)
+            else:
+                step.sets_[name] = [r.asDict() for r in (counts.of(what) if isinstance(what, ValueCounts) else what(df)).collect()]
         counts.frame.unpersist()
 
     def restore(self) -> Pipeline:

@@ -18,11 +18,15 @@ from tessera.schema import Schema, resolve_columns
 
 @dataclass(frozen=True)
 class ValueCounts:
-    """A column's values as strings, with their counts: all, or the first ``most`` by name."""
+    """A column's values as strings, with their counts: the first ``most`` by name, or all of them.
+
+    For ``whole`` ones with more than ``most`` values, the step gets a table (value, count, place) in
+    ``tables_``, place being the number in the order of values, and the driver none of its rows.
+    """
 
     column: str
     most: int
-    ordered: bool = False
+    whole: bool = False
 
 
 class Transformer:
@@ -77,6 +81,7 @@ class Transformer:
     def reset(self) -> None:
         self.params_: dict = {}
         self.sets_: dict[str, list[dict]] = {}
+        self.tables_: dict[str, DataFrame] = {}
         for name in ("columns_", "input_schema_", "output_schema_", "ops_"):
             self.__dict__.pop(name, None)
 
@@ -120,12 +125,12 @@ class Transformer:
 
     def __deepcopy__(self, memo) -> Transformer:
         new = memo[id(self)] = _copy.copy(self)
-        new.__dict__ = {k: v if isinstance(v, DataFrame) else _copy.deepcopy(v, memo) for k, v in self.__dict__.items() if k != "_pipeline"}
+        new.__dict__ = {k: v if isinstance(v, DataFrame) else dict(v) if k == "tables_" else _copy.deepcopy(v, memo) for k, v in self.__dict__.items() if k != "_pipeline"}
         return new
 
     def __getstate__(self) -> dict:
         """What was learned, without plans and frames, which belong to a session."""
-        return {k: None if isinstance(v, DataFrame) else v for k, v in self.__dict__.items() if k not in ("ops_", "_pipeline")}
+        return {k: None if isinstance(v, DataFrame) else {} if k == "tables_" else v for k, v in self.__dict__.items() if k not in ("ops_", "_pipeline")}
 
     def __sklearn_is_fitted__(self) -> bool:
         return hasattr(self, "columns_")

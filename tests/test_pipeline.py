@@ -318,6 +318,27 @@ def test_many_categories_in_groups_and_branches(spark):
         assert out.where(f"{name} <> {'id' if name == 'c' else 'a_id'}").isEmpty() and out.count() == 2500
 
 
+def test_categories_beyond_the_driver(spark, monkeypatch):
+    """With the driver's share set low, categories stay a table; numbers are the same, whatever the column's type."""
+    from tessera.operators import encoders
+
+    df = spark.range(3000).selectExpr("CASE WHEN id % 10 = 3 THEN NULL ELSE concat('v', id % 1500) END AS c", "id % 700 AS n", "id")
+    steps = lambda: [ts.FrequencyEncoder(columns=["n"]), ts.OrdinalEncoder(columns=["c"])]
+    want = sorted(map(tuple, ts.Pipeline(steps()).fit_transform(df).collect()), key=str)
+    monkeypatch.setattr(encoders, "DRIVER_CATEGORIES", 50)
+    p = ts.Pipeline(steps()).fit(df)
+    assert not p[0].sets_ and not p[1].sets_
+    assert sorted(map(tuple, p.transform(df).collect()), key=str) == want == sorted(map(tuple, p.copy().transform(df).collect()), key=str)
+    df.createOrReplaceTempView("ts_many")
+    assert sorted(map(tuple, spark.sql(p.to_sql("ts_many")).collect()), key=str) == want
+    p[1].check_unseen(df)
+    with pytest.raises(ts.errors.UnseenCategoryError):
+        p[1].check_unseen(frame(spark, [("strange",)], "c string"))
+    both = ts.Pipeline([ts.Columns([("k", ts.OrdinalEncoder(), ["c"])], remainder="passthrough")]).fit(df)
+    plain = {r["id"]: r["c"] for r in p.transform(df).collect()}
+    assert {r["id"]: r["c"] for r in both.transform(df).collect()} == plain
+
+
 def test_steps_that_break_their_word(spark):
     df = frame(spark, [(1.0,)], "a double")
 
