@@ -112,7 +112,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     prints = _fingerprint(rows, ids).select(*ids, "simhash", F.posexplode(_blocks("simhash")).alias("block", "value"))
     of_items = _fingerprint(bags, ["item", "item_words"]).select("item", "item_words", F.col("simhash").alias("item_simhash"), F.posexplode(_blocks("simhash")).alias("block", "value"))
     hamming = F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_simhash")))
-    near = prints.join(materialize(of_items, "blocks"), ["item_words", "block", "value"]).where(hamming <= RADIUS).select(*ids, "item", hamming.alias("hamming")).distinct()
+    of_items = materialize(of_items, "blocks")
+    near = prints.join(of_items, ["item_words", "block", "value"]).where(hamming <= RADIUS).select(*ids, "item", hamming.alias("hamming")).distinct()
     near = materialize(near, "near")
     own = rows.groupBy(*ids).agg(F.sum(F.col("weight") * F.col("n")).alias("own"))
     shared = near.join(rows, ids).join(bags.select("item", "h", F.col("n").alias("item_n")), ["item", "h"]).groupBy(*ids, "item", "hamming").agg(F.sum(F.col("weight") * F.least("n", "item_n")).alias("shared"))
@@ -121,7 +122,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     out = scored.groupBy("key", F.col("item.key").alias("item_key")).agg(best)
     out = out.select(F.col("key").alias("doc_id"), F.col("item_key").alias("item_id"), (-F.col("b.s")).alias("window_start"), F.col("b.words").alias("window_words"), (-F.col("b.d")).alias("hamming"), F.round("b.similarity", 6).alias("similarity"))
     out = materialize(out, "leaks")
-    release(each, weights, bags, of_size, hits, texts, starts, rows, near)
+    release(each, weights, bags, of_size, hits, texts, starts, rows, of_items, near)
     return out
 
 

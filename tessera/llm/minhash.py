@@ -327,6 +327,7 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").where("x <> y").select("x", "y")
     both = materialize(ends.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")).select("e.x", "e.y").distinct(), "label-links")
     if both.isEmpty():
+        release(both)
         return labels
     # all labels but the smallest of their neighbourhood take it in the first round
     now = materialize(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("near")).select("node", F.least("node", "near").alias("label")), "label-classes")
@@ -422,8 +423,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class (all rows with its id and text), with the columns of ``docs``."""
-    lost = classes(docs, doc_id, text).where("id <> class_id").select("id", "copy").distinct()
-    return anti_join(docs, materialize(lost, "lost"), {"id": F.col(doc_id).cast("long"), "copy": F.xxhash64(F.col(text))})
+    every = classes(docs, doc_id, text)
+    lost = materialize(every.where("id <> class_id").select("id", "copy").distinct(), "lost")
+    release(every)
+    return anti_join(docs, lost, {"id": F.col(doc_id).cast("long"), "copy": F.xxhash64(F.col(text))})
 
 
 def brute_force(rows: list[tuple[int, str | None]], least: float = SIMILARITY) -> dict[int, int]:

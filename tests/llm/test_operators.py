@@ -557,3 +557,25 @@ def test_empty_tables(docs, spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     frames = [line_dedup.kept_digest(line_dedup.dedup_lines(d)), debruijn.kept_digest(debruijn.remove_repeats(d)), suffixes.kept_digest(suffixes.remove_repeats(d)), minhash.near_duplicates(d), packing.pack_documents(d), secret_scan.digest(secret_scan.scan_secrets(d)), quality.quality_verdicts(d), decontaminate.find_leaks(d, bench), warc.round_trip(pages), shards.compacted(d)]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_nothing_is_left_behind(spark, docs):
+    """Of all the tables on the way, only what a result is read from stays in the shared folder."""
+    from pathlib import Path
+
+    from tessera.llm._common import CLEANUP_KEY, shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    d, bench = docs(near_rows()), spark.createDataFrame([(1, prose(40, 80))], "item_id long, text string")
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "v", "x")], "page_id long, url string, html string")
+    calls = {
+        "classes": lambda: minhash.near_duplicates(d), "lost": lambda: minhash.keep_first(d), "spans": lambda: debruijn.remove_repeats(d), "leaks": lambda: decontaminate.find_leaks(d, bench), "lost-lines": lambda: line_dedup.dedup_lines(d),
+        "packed": lambda: packing.pack_documents(d), "verdicts": lambda: quality.quality_verdicts(d), "findings": lambda: secret_scan.scan_secrets(d), "pages": lambda: warc.round_trip(pages),
+    }
+    for kind, call in calls.items():
+        before = set(folder.iterdir())
+        out = call()
+        left = {f.name.rsplit("-", 1)[0] for f in set(folder.iterdir()) - before}
+        assert left <= {kind}, (kind, left)
+        out.count()
+    assert spark.conf.get(CLEANUP_KEY, "false") == "false"
