@@ -6,7 +6,7 @@ remainders' descriptions (no token) are dealt by a hash, and packed in lots of a
 ``lot_pieces``: a lot of total S starts with ceil(S / capacity) windows; multiway differencing
 (the two partial partitions of largest spread are merged, the fullest window of one onto the
 emptiest of the other) makes the windows near-equal; while a window exceeds the capacity, the
-count rises by one and the lot is packed again.
+count rises by its excess, by one at least, and the lot is packed again.
 
 Tokens: a byte-level BPE never merges over the boundary before a space that follows a
 non-space, so texts are split at single spaces, the distinct words of a run of texts are looked up in a
@@ -30,9 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._common import materialize, release
+
 CAPACITY = 1024
 MAX_PIECE = 256
-LOT_PIECES = 4096
+LOT_PIECES = 2048
 TOKENIZER = "byte_bpe_50k"
 #: Words in a worker's cache; later words are encoded anew each time.
 CACHE_WORDS = 700_000
@@ -177,37 +179,50 @@ def _cut(capacity: int, max_piece: int, tokenizer: str):
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """Karmarkar-Karp for k windows: item numbers by window.
 
-    A partial partition is its window sums in falling order and, for each window, a tree of the
-    partitions merged into it; the heap gives the two of largest spread.
+    A partial partition is the sums of its windows that hold something, in falling order, and how it
+    was merged; the heap gives the two of largest spread. Parts that fit side by side into k windows
+    don't add up: a single item is put in its place, others are sorted together.
     """
-    if k == 1:
-        return [list(range(len(sizes)))]
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    heap: list[tuple] = []
-    for tie, i in enumerate(order):
-        sums = np.zeros(k, np.int64)
-        sums[0] = sizes[i]
-        heap.append((-sizes[i], tie, sums, i, None, None, None, None))
+    heap: list[tuple] = [(-size, i, np.array([size]), i, None) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     tie = len(heap)
     while len(heap) > 1:
         a, b = heapq.heappop(heap), heapq.heappop(heap)
-        sums = a[2] + b[2][::-1]
-        order_ = np.argsort(-sums, kind="stable")
-        sums = sums[order_]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), tie, sums, None, a, b, order_, k - 1 - order_))
+        if len(a[2]) < len(b[2]):
+            a, b = b, a
+        x, y = a[2], b[2]
+        if len(x) < k and len(y) == 1:
+            at = len(x) - int(np.searchsorted(x[::-1], y[0]))
+            sums, how = np.concatenate([x[:at], y, x[at:]]), at
+        elif len(x) + len(y) <= k:
+            both = np.concatenate([x, y])
+            how = np.argsort(-both, kind="stable")
+            sums = both[how]
+        else:  # the fullest of one meets the emptiest of the other
+            both = np.zeros(k, np.int64)
+            both[: len(x)] = x
+            both[k - len(y) :] += y[::-1]
+            how = np.argsort(-both, kind="stable")
+            sums = both[how]
+        spread = sums[0] - (sums[-1] if len(sums) == k else 0)
+        heapq.heappush(heap, (-int(spread), tie, sums, None, (a, b, how)))
         tie += 1
     windows: list[list[int]] = [[] for _ in range(k)]
-    todo = [(heap[0], np.arange(k))]
-    while todo:  # window j of a merged partition is window left[j] of one part and right[j] of the other
-        (_, _, _, item, a, b, left, right), to = todo.pop()
+    todo = [(heap[0], np.arange(len(heap[0][2])))] if heap else []
+    while todo:  # which window each window of a part went to
+        (_, _, _, item, merged), to = todo.pop()
         if item is not None:
             windows[int(to[0])].append(item)
             continue
-        for part, at in ((a, left), (b, right)):
-            back = np.empty(k, np.int64)
-            back[at] = to
-            todo.append((part, back))
+        a, b, how = merged
+        n, m = len(a[2]), len(b[2])
+        if isinstance(how, int):
+            left, right = np.delete(to, how), to[how : how + 1]
+        else:
+            back = np.empty(len(to), np.int64)
+            back[how] = to
+            left, right = back[:n], back[n:] if n + m <= k else back[::-1][:m]
+        todo += [(a, left), (b, right)]
     return windows
 
 
@@ -216,9 +231,10 @@ def pack_lot(sizes: list[int], capacity: int) -> list[list[int]]:
     k = max(1, -(-sum(sizes) // capacity))
     while True:
         windows = differencing(sizes, k)
-        if max(sum(sizes[i] for i in w) for w in windows) <= capacity:
+        most = max(sum(sizes[i] for i in w) for w in windows)
+        if most <= capacity:
             return [sorted(w) for w in windows if w]
-        k += 1
+        k += max(1, k * (most - capacity) // capacity)  # as many as would bring the fullest window down
 
 
 def _pack(capacity: int, lot_pieces: int):
@@ -271,11 +287,11 @@ def _alone(capacity: int):
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, max_piece: int = MAX_PIECE, lot_pieces: int = LOT_PIECES, tokenizer: str = TOKENIZER) -> DataFrame:
     """One row per piece: where it starts in its document, its CRC, its sequence and offset."""
-    from tessera.llm._common import materialize
-
     spark = docs.sparkSession
     pieces = materialize(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_cut(capacity, max_piece, tokenizer), PIECE), "pieces")
     full = F.col("length") == capacity
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = pieces.where(~full).repartition(n, F.xxhash64("doc_id", "start")).sortWithinPartitions("doc_id", "start", "ids_crc32", "doc_tokens")
-    return pieces.where(full).mapInArrow(_alone(capacity), PLACED).unionByName(rest.mapInArrow(_pack(capacity, lot_pieces), PLACED))
+    placed = materialize(pieces.where(full).mapInArrow(_alone(capacity), PLACED).unionByName(rest.mapInArrow(_pack(capacity, lot_pieces), PLACED)), "packed")
+    release(pieces)
+    return placed
