@@ -4,7 +4,7 @@ A sparse suffix array: of all suffixes only those at anchors are sorted, and onl
 that two documents may share (each 50-byte string has one anchor, at the same place in every
 copy, so nothing is lost). An anchor carries the bytes around it that its windows cover. Sampled
 splitters range-partition the anchors by their suffix's leading bytes. A bucket sorts its suffixes
-by multikey quicksort (eight bytes at a time, only among suffixes that are still tied) and takes
+by multikey quicksort (eight bytes at a time, all open groups at once) and takes
 the common prefix of neighbours; the bytes before the anchors are sorted alike, backwards. A window
 that starts j bytes before its anchor equals another if the suffixes share 50 - j bytes and the
 contexts before share j: both are intervals of the sorted orders, numbered without any hash. The
@@ -137,28 +137,56 @@ def _batch(splitters, context, doc, copy, at, first, last) -> pa.RecordBatch:
 
 
 def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of byte rows, and the bytes that each shares with the one before it (in that order)."""
+    """Multikey quicksort: the order of byte rows, and the bytes that each shares with the one before it (in that order).
+
+    Many rows are first parted by some hundred sampled pivots at their first eight bytes. Then all groups that
+    are still open are parted at once, by a pivot each, into smaller, equal and larger ones at the
+    group's depth; those equal go on at the next eight bytes, the others at the same.
+    """
     n, width = rows.shape
-    pad = -width % 8
-    words = np.pad(rows, ((0, 0), (0, pad))).view(">u8").astype(U)
-    order = np.argsort(words[:, 0], kind="stable")
-    w = words[order, 0]
-    start = np.append(True, w[1:] != w[:-1])
-    for depth in range(1, words.shape[1]):
-        group = np.cumsum(start) - 1
-        tied = np.flatnonzero(~start | np.append(~start[1:], False))  # only suffixes still tied are sorted on
-        if not len(tied):
-            break
-        w = words[order[tied], depth]
-        sub = np.lexsort((w, group[tied]))
-        order[tied] = order[tied][sub]
-        w = w[sub]
-        start[tied] |= np.append(True, (w[1:] != w[:-1]) | (group[tied][1:] != group[tied][:-1]))
+    words = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, -width % 8)))).view(">u8").astype(U)
+    order = np.arange(n)
+    start = np.zeros(n + 1, bool)  # where a group starts, in the order so far
+    start[[0, n]] = True
+    if n > 4096:
+        pivots = np.unique(np.sort(words[:: n // 1000, 0])[::4])[:255]
+        part = np.searchsorted(pivots, words[:, 0], side="right").astype(np.uint8)
+        order = np.argsort(part, kind="stable")
+        start[1:n] = np.diff(part[order]) != 0
+    number = np.empty(n, np.int64)  # of a place among those open
+    at, depth = np.arange(n), np.zeros(n, np.int64)  # places of groups still open, and the depth of each place
+    while len(at):
+        row = order[at]
+        first = np.flatnonzero(start[at])
+        size = np.diff(np.append(first, len(at)))
+        group = np.repeat(np.arange(len(first)), size)
+        w = words[row, depth]
+        ends = first + size - 1
+        three = np.sort(np.stack([w[first], w[first + size // 2], w[ends]]), axis=0)
+        pivot = three[1][group]
+        side = (w >= pivot).astype(np.int8) + (w > pivot)
+        # each place's new one: its group's start, the smaller sides, and its rank among its own side
+        to = np.empty(len(at), np.int64)
+        base = at[first]
+        for s in range(3):
+            mine = side == s
+            upto = np.cumsum(mine)
+            before = (upto - mine)[first]
+            to[mine] = (base[group] + upto - 1 - before[group])[mine]
+            count = np.add.reduceat(mine, first, dtype=np.int64)
+            start[base[count > 0]] = True
+            base = base + count
+        order[to] = row
+        old, depth = depth, np.empty(len(at), np.int64)
+        number[at] = np.arange(len(at))
+        depth[number[to]] = old + (side == 1)
+        alone = start[at] & start[at + 1]
+        on = ~alone & (depth < words.shape[1])
+        at, depth = at[on], depth[on]
     lcp = np.zeros(n, np.int32)
-    tied = np.flatnonzero(~start)
-    lcp[tied] = width
-    for part in np.array_split(np.flatnonzero(start[1:]) + 1, max(1, n // 100_000)):
-        lcp[part] = (rows[order[part]] != rows[order[part - 1]]).argmax(axis=1)
+    for part in np.array_split(np.arange(1, n), max(1, n // 100_000)):
+        differ = rows[order[part]] != rows[order[part - 1]]
+        lcp[part] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
     return order, lcp
 
 
