@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Folders of local sessions that name none, by application; they go with the process.
+_LOCAL: dict[str, str] = {}
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Spark removes a query's shuffle files when the query ends.
 CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -27,10 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by the driver and all executors")
-    own = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    spark.conf.set(CHECKPOINT_KEY, own)
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    return "file://" + _LOCAL[app]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -39,21 +45,27 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def own_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the queries within go as each ends, by Spark's own setting, which is put back after it."""
-    before = spark.conf.get(CLEANUP_KEY, None)
-    spark.conf.set(CLEANUP_KEY, "true")
+def own_shuffles(spark: SparkSession, batch_bytes: str | None = None) -> Iterator[None]:
+    """Shuffle files of the queries within go as each ends, by Spark's own setting.
+
+    ``batch_bytes`` bounds what Python workers get at a time. Both settings are put back afterwards.
+    """
+    own = {CLEANUP_KEY: "true"} | ({BATCH_KEY: batch_bytes} if batch_bytes else {})
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP_KEY) if before is None else spark.conf.set(CLEANUP_KEY, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch_bytes: str | None = None) -> DataFrame:
     """Write a frame as a table in the shared folder and read it back: cuts the lineage durably."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    with own_shuffles(spark):
+    with own_shuffles(spark, batch_bytes):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

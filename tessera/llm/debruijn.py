@@ -40,12 +40,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._anchors import KEY_MASK, Scheme, U, block_of, by_text, keys_of, mix, pack, rolling, shared_anchors, short, short_hash, sliding_min, whole
+from tessera.llm._anchors import KEY_MASK, Scheme, U, block_of, by_text, keys_of, mix, rolling, shared_anchors, short, short_hash, sliding_min, whole
 from tessera.llm._common import materialize, release, shards_for
 
 WINDOW, ANCHOR = 13, 7
 GRID = 64
-BYTES_PER_SHARD = 48 << 20
+BYTES_PER_SHARD = 12 << 20
+#: Texts that are spelled or rebuilt at a time, which bounds a worker's memory.
+ROWS = 500
+#: Bytes of a batch that a worker gets.
+BATCH = "8m"
 #: Sets of hashes that are tried before the operator gives up.
 TRIES = 4
 
@@ -59,7 +63,7 @@ def _symbols(text: bytes) -> np.ndarray:
     return _words(text, 0)
 
 
-SCHEME = Scheme(WINDOW, ANCHOR, _symbols, 600_000)
+SCHEME = Scheme(WINDOW, ANCHOR, _symbols, 400_000)
 
 #: Kinds of packed rows: an edge of a batch for its shard; of a document's edge the coordinate in the batch's sender; the coordinate in its source; an edge's end at a node.
 SENT, LATE, HELD, ARC = range(4)
@@ -68,17 +72,37 @@ PACKED = "part int, kind int, tail binary, head binary, flag binary, doc binary,
 _KINDS = {"flag": np.uint8, "doc": "<i8", "copy": "<u4", "pos": "<u4", "source": "<i8", "source_copy": "<u4", "source_pos": "<u4"}
 
 
+def _encoded(name: str, a: np.ndarray) -> bytes:
+    """Differences, byte plane by byte plane: what shuffles and files compress best where places follow each other."""
+    if name in ("tail", "head"):
+        return short(a).tobytes()
+    a = a.astype(_KINDS[name])
+    if name != "flag":
+        a = np.diff(a, prepend=a.dtype.type(0))
+    return a.view(np.uint8).reshape(len(a), -1).T.tobytes()
+
+
+def _decoded(name: str, raw: bytes) -> np.ndarray:
+    if name in ("tail", "head"):
+        return whole(raw)
+    kind = np.dtype(_KINDS[name])
+    a = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+    return a if name == "flag" else np.cumsum(a, dtype=kind)
+
+
 class _Out:
-    """Packed rows to be."""
+    """Packed rows to be, each part by document and place."""
 
     def __init__(self):
         self.rows: list[dict] = []
 
     def put(self, kind: int, part: np.ndarray, **arrays: np.ndarray) -> None:
-        names = list(arrays)
-        packed = [short(a) if n in ("tail", "head") else a.astype(_KINDS[n]) for n, a in arrays.items()]
-        for *values, i in pack(part, *packed):
-            self.rows.append({"part": int(part[i]), "kind": kind} | dict(zip(names, values, strict=True)))
+        order = np.lexsort((arrays["pos"], arrays["copy"], arrays["doc"], part))
+        part = part[order]
+        arrays = {n: a[order] for n, a in arrays.items()}
+        cuts = np.append(np.flatnonzero(_new(part)), len(part)) if len(part) else []
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            self.rows.append({"part": int(part[a]), "kind": kind} | {n: _encoded(n, x[a:z]) for n, x in arrays.items()})
 
     def table(self) -> pa.Table:
         return pa.Table.from_pylist(self.rows, schema=_PACKED)
@@ -86,8 +110,7 @@ class _Out:
 
 def _opened(t: pa.Table, kind: int, *names: str) -> list[np.ndarray]:
     t = t.filter(pc.equal(t.column("kind"), kind))
-    joined = [b"".join(t.column(n).to_pylist()) for n in names]
-    return [whole(x) if n in ("tail", "head") else np.frombuffer(x, _KINDS[n]) for n, x in zip(names, joined, strict=True)]
+    return [np.concatenate([_decoded(n, b""), *(_decoded(n, x) for x in t.column(n).to_pylist())]) for n in names]
 
 
 def _new(*keys: np.ndarray) -> np.ndarray:
@@ -205,7 +228,7 @@ def compact_paths(segments: DataFrame) -> DataFrame:
     """Segments with ``path`` (its first segment as a struct) and ``offset`` (edges of the path before it).
 
     A segment points to the one it goes on from; each round joins pointers with pointers, so that they
-    reach twice as far. What still points on when pointers span more than all segments are cycles.
+    reach twice as far. What still points on when a round leaves as many as the one before are cycles.
     """
     name = F.struct("source", "copy", "start").alias("segment")
     own = segments.select(name, (F.col("last") - F.col("start") + 1).alias("edges"), *[c for c in segments.columns])
@@ -213,15 +236,14 @@ def compact_paths(segments: DataFrame) -> DataFrame:
     linked = own.join(ends, ["from_source", "from_copy", "from_pos"], "left")
     now = materialize(linked.select("segment", "to", F.coalesce("before", F.lit(0)).cast("long").alias("offset"), F.least("segment", "to").alias("low")), "pointers")
     links = now
-    reach, most = 1, None
+    reach, before = 1, None
     while (n := now.where("to IS NOT NULL").count()) > 0:
-        most = most or n
-        if reach > most:  # cycles: cut each at its smallest segment
+        if n == before and reach >= n:  # a path has fewer each round, so these are cycles: cut each at its smallest segment
             cut = now.where("to IS NOT NULL").select("segment", "low")
             again = links.select("segment", F.col("to").alias("was"), F.col("offset").alias("before")).join(cut, "segment", "left")
             open_ = F.col("low").isNull() | (F.col("low") != F.col("segment"))
             mended = again.select("segment", F.when(open_, F.col("was")).alias("to"), F.when(open_, F.col("before")).otherwise(F.lit(0)).alias("offset"), F.least("segment", "was").alias("low"))
-            old, now, reach = now, materialize(mended, "pointers"), 1
+            old, now, reach, before = now, materialize(mended, "pointers"), 1, None
             if old is not links:
                 release(old)
             continue
@@ -232,7 +254,7 @@ def compact_paths(segments: DataFrame) -> DataFrame:
         old, now = now, materialize(new, "pointers")
         if old is not links:
             release(old)
-        reach *= 2
+        reach, before = 2 * reach, n
     first = F.coalesce("first", "segment") if "first" in now.columns else F.col("segment")
     out = materialize(own.join(now.select("segment", first.alias("path"), "offset"), "segment").select("path", "offset", "source", "copy", "start", "edges"), "paths")
     release(now, *([links] if now is not links else []))
@@ -294,9 +316,15 @@ def _compact(t: pa.Table) -> pa.Table:
 _SPELLED = pa.schema([("source", pa.int64()), ("source_copy", pa.int64()), ("source_start", pa.int64()), ("edges", pa.int64()), ("digest", pa.binary())])
 
 
+def _slices(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def _spell(batches):
     """Digests of the words of each text's pieces, its own and those that others took from it."""
-    for b in batches:
+    for b in _slices(batches):
         cols = {n: b.column(n).to_pylist() for n in ("id", "copy", *_SPAN, "asked")}
         out: list[tuple] = []
         for i, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
@@ -328,7 +356,7 @@ def _verified(base: DataFrame, spans: DataFrame, paths: DataFrame) -> bool:
         tasks = own.join(asked, ["of_id", "of_copy"], "full")
         texts = base.join(tasks, (F.col("id") == F.col("of_id")) & (F.col("copy") == F.col("of_copy"))).select("id", "copy", "text", *_SPAN, "asked")
         spelled = texts.mapInArrow(_spell, "source long, source_copy long, source_start long, edges long, digest binary")
-        bad = materialize(spelled.groupBy(*piece).agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z"), "misspelled")
+        bad = materialize(spelled.groupBy(*piece).agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z"), "misspelled", BATCH)
         good = bad.isEmpty()
         release(bad)
     release(pieces)
@@ -336,7 +364,7 @@ def _verified(base: DataFrame, spans: DataFrame, paths: DataFrame) -> bool:
 
 
 def _remove(batches):
-    for b in batches:
+    for b in _slices(batches):
         names = b.schema.names
         texts = b.column(names.index("text")).cast(pa.binary()).to_pylist()
         out, n_words, n_removed = [], [], []
@@ -366,11 +394,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     candidates = base.join(anchors, base.id == anchors.doc_id).select("id", "copy", "text", "keys")
     for seed in range(TRIES):
         found = candidates.mapInArrow(_edges(n, seed, 64 if seed else first_bits), PACKED)
-        edges = materialize(found.groupBy("part").applyInArrow(_sources(n), PACKED), "edges")
+        edges = materialize(found.groupBy("part").applyInArrow(_sources(n), PACKED), "edges", BATCH)
         segments = materialize(_segments(edges), "segments")
         paths = compact_paths(segments)
         held = edges.where(F.col("kind") != ARC).groupBy("part").applyInArrow(_translated(n), PACKED)
-        spans = materialize(held.groupBy("part").applyInArrow(_compact, SPANS), "spans")
+        spans = materialize(held.groupBy("part").applyInArrow(_compact, SPANS), "spans", BATCH)
         release(edges, segments)
         if _verified(base, spans, paths):
             release(anchors)
